@@ -1,0 +1 @@
+"""Intentionally empty: the activity logs are daily counts processed week by week in batch."""
