@@ -24,13 +24,22 @@ def row_mean(columns: Sequence[Column], digits: int = 3) -> Column:
     return F.round(row_sum(columns) / F.lit(float(len(columns))), digits)
 
 
-def row_median(columns: Sequence[Column]) -> Column:
-    """Median of the non-NULL columns of a row, the middle pair averaged; NULL if there is none.
+def median_text(columns: Sequence[str]) -> str:
+    """SQL text for the median of the non-NULL columns of a row; NULL if there is none.
 
-    ``array_sort`` puts NULLs last, so the present values fill the first places.
+    Two columns need a comparison only. Beyond that ``array_sort`` puts NULLs last, so the
+    present values fill the first places and the middle one or two are read off.
     """
-    ordered = F.array_sort(F.array(*[c.cast("double") for c in columns]))
-    present = row_sum([c.isNotNull().cast("int") for c in columns])
-    low = F.get(ordered, F.floor((present - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(present / 2).cast("int"))
-    return F.when(present > 0, (low + high) / 2)
+    doubles = [f"double({c})" for c in columns]
+    if len(columns) == 2:
+        a, b = doubles
+        return f"coalesce(({a} + {b}) / 2D, {a}, {b})"
+    ordered = f"array_sort(array({', '.join(doubles)}))"
+    present = " + ".join(f"int({c} IS NOT NULL)" for c in columns)
+    low = f"get({ordered}, int(floor(({present} - 1) / 2D)))"
+    high = f"get({ordered}, int(floor(({present}) / 2D)))"
+    return f"CASE WHEN {present} > 0 THEN ({low} + {high}) / 2D END"
+
+
+def row_median(columns: Sequence[str]) -> Column:
+    return F.expr(median_text([f"`{c}`" for c in columns]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.keys import key_id
-from cohortlens.functions.numeric import ratio, row_mean, row_median, row_sum
+from cohortlens.functions.numeric import median_text
 from cohortlens.plans import catalogue as cat
 
 WIDTHS = (2, 3, 4)
@@ -46,26 +46,28 @@ def recent_weeks(rows: DataFrame, period: int, weeks: str = "observed") -> Colum
     return seen.agg(F.sort_array(F.collect_list("periodo_week"), asc=False)).scalar()
 
 
-def _block(metric: str, widths: Sequence[int]) -> list[Column]:
-    """Statistics of one metric from its columns ``_<metric>_<age>``; age 1 is the last week."""
-    deepest = max(widths)
-    raw = {age: F.col(f"_{metric}_{age}") for age in range(1, deepest + 1)}
-    filled = {age: F.coalesce(c, F.lit(0)) for age, c in raw.items()}
+def _block(metric: str, widths: Sequence[int]) -> list[str]:
+    """Statistics of one metric from its columns ``_<metric>_<age>``; age 1 is the last week.
+
+    SQL texts, since some 1,200 column objects would take longer to build than the job to run.
+    """
+    raw = {age: f"`_{metric}_{age}`" for age in range(1, max(widths) + 1)}
+    filled = {age: f"coalesce({c}, 0)" for age, c in raw.items()}
     last = filled[1]
-    out = [last.alias(f"{metric}_peranalisis")]
+    out = [f"{last} AS `{metric}_peranalisis`"]
     for k in widths:
         ages = range(k, 0, -1)
-        span = [filled[a] for a in ages]
-        first = filled[k]
+        first, span = filled[k], [filled[a] for a in ages]
+        total, listed = " + ".join(span), ", ".join(span)
         out += [
-            row_sum(span).alias(f"{metric}_sum{k}s"),
-            row_mean(span).alias(f"{metric}_prom{k}s"),
-            (last - first).alias(f"{metric}_diff{k}s"),
-            F.round(ratio(last, first) - 1, 3).alias(f"{metric}_var{k}s"),
-            F.greatest(*span).alias(f"{metric}_max{k}s"),
-            F.least(*span).alias(f"{metric}_min{k}s"),
-            first.alias(f"{metric}_sem{k}"),
-            row_median([raw[a] for a in ages]).alias(f"{metric}_median{k}s"),
+            f"{total} AS `{metric}_sum{k}s`",
+            f"round(({total}) / {k}D, 3) AS `{metric}_prom{k}s`",
+            f"{last} - {first} AS `{metric}_diff{k}s`",
+            f"round(try_divide(double({last}), double({first})) - 1, 3) AS `{metric}_var{k}s`",
+            f"greatest({listed}) AS `{metric}_max{k}s`",
+            f"least({listed}) AS `{metric}_min{k}s`",
+            f"{first} AS `{metric}_sem{k}`",
+            f"{median_text([raw[a] for a in ages])} AS `{metric}_median{k}s`",
         ]
     return out
 
@@ -90,12 +92,12 @@ def trailing_features(
         "key_id", F.array_position(recent, F.col("periodo_week")).cast("int").alias("_age"), *metrics
     )
     sums = [
-        F.sum(F.when(F.col("_age") == age, F.col(m))).alias(f"_{m}_{age}")
+        F.expr(f"sum(CASE WHEN _age = {age} THEN `{m}` END) AS `_{m}_{age}`")
         for m in metrics
         for age in range(1, max(widths) + 1)
     ]
     wide = aged.groupBy("key_id").agg(*sums)
-    return wide.select("key_id", *[c for m in metrics for c in _block(m, widths)])
+    return wide.selectExpr("key_id", *[text for m in metrics for text in _block(m, widths)])
 
 
 def event_features(weekly: DataFrame, period: int, weeks: str = "observed") -> DataFrame:

@@ -46,9 +46,12 @@ class World:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.folder, name)
+        return self._tables[name]
 
     def site(self) -> DataFrame:
         number, size = F.col("p_partkey"), F.col("p_size")
@@ -230,11 +233,13 @@ class World:
     def ml_rows(self) -> DataFrame:
         """Modelling frame: x2 and x5 with gaps, x4 nearly constant, x6 close to twice x1."""
         order, quantity = F.col("l_orderkey"), F.col("l_quantity")
+        returned = (F.col("l_returnflag") == "R") & (quantity > 20)
+        cheap = (F.col("l_discount") >= 0.07) & (quantity > 35)
         nothing = F.lit(None)
         key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
         return self.table("lineitem").select(
             key.alias("row_id"),
-            F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
+            F.when(returned | cheap, 1).otherwise(0).alias("label"),
             quantity.alias("x1"),
             F.when(order % 5 == 0, nothing).otherwise(F.col("l_extendedprice")).alias("x2"),
             F.col("l_discount").alias("x3"),

@@ -97,6 +97,7 @@ def features_select(metrics, source: str, where: str, suffixes: str | None = Non
     )
 
 
+VARIABLES = ("x1", "x2", "x3", "x4", "x5", "x6")
 EVENT_WHERE = f"periodo_week <= {PERIOD} AND periodo_week > 0"
 PLAIN_WHERE = f"periodo_week <= {PERIOD}"
 
@@ -142,11 +143,40 @@ VIEWS: dict[str, str] = {
         CASE WHEN event_type = 'error' THEN NULL ELSE CAST(event_id * 13 % 101 AS DOUBLE) END, CAST(ts AS DATE),
         CASE WHEN event_type IN ('error', 'view') THEN NULL ELSE CAST(event_id % 90 AS DOUBLE) END FROM events""",
     "ml_rows": """SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)
-        || '-' || CAST(l_suppkey AS VARCHAR) AS row_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_quantity AS x1,
+        || '-' || CAST(l_suppkey AS VARCHAR) AS row_id, CASE WHEN (l_returnflag = 'R' AND l_quantity > 20) OR (l_discount >= 0.07 AND l_quantity > 35) THEN 1 ELSE 0 END AS label, l_quantity AS x1,
         CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_extendedprice END AS x2, l_discount AS x3,
         CAST(CASE WHEN l_linenumber = 1 AND l_orderkey % 40 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS x4,
         CASE WHEN l_orderkey % 3 <> 0 THEN NULL ELSE l_tax END AS x5, l_quantity * 2 + l_tax AS x6,
         (l_quantity % 20) / 20 AS p FROM lineitem""",
+    "ml_long": " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, CAST({v} AS DOUBLE) AS value, label FROM ml_rows" for v in VARIABLES
+    ),
+    "ml_filled": "SELECT row_id, label, p, " + ", ".join(f"coalesce({v}, -9999) AS {v}" for v in VARIABLES) + " FROM ml_rows",
+    "score_count": """SELECT p AS score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+        FROM ml_rows GROUP BY p""",
+    "score_rank": """SELECT score, pos, neg, coalesce(sum(pos) OVER w, 0) AS before_pos, coalesce(sum(neg) OVER w, 0) AS before_neg,
+        sum(pos) OVER () AS all_pos, sum(neg) OVER () AS all_neg, lag(score) OVER (ORDER BY score) AS previous
+        FROM score_count WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "iv_cut": "SELECT variable, list_distinct([" + ", ".join(f"quantile_cont(value, {i / 10})" for i in range(1, 10))
+        + "]) AS cuts FROM ml_long WHERE value IS NOT NULL GROUP BY variable",
+    "iv_bin": """SELECT variable, bin, min(value) AS low, max(value) AS high, count(*) AS n, CAST(sum(label) AS BIGINT) AS n1
+        FROM (SELECT l.variable, l.value, l.label, CASE WHEN l.value IS NOT NULL
+              THEN CAST(len(list_filter(c.cuts, lambda e: e <= l.value)) AS INTEGER) END AS bin
+              FROM ml_long l LEFT JOIN iv_cut c ON c.variable = l.variable) GROUP BY variable, bin""",
+    "woe": """SELECT *, (share1 - share0) * woe AS iv FROM (SELECT *, CASE WHEN n1 > 0 AND n0 > 0 THEN ln(share1 / share0) ELSE 0 END AS woe
+        FROM (SELECT variable, bin, low, high, n, n - n1 AS n0, n1, CAST(n1 AS DOUBLE) / sum(n1) OVER (PARTITION BY variable) AS share1,
+              CAST(n - n1 AS DOUBLE) / sum(n - n1) OVER (PARTITION BY variable) AS share0 FROM iv_bin))""",
+    "iv_table": "SELECT variable, sum(iv) AS iv FROM woe GROUP BY variable",
+    "ks_edge": "SELECT variable, [" + ", ".join(f"quantile_cont(value, {i / 10})" for i in range(1, 11))
+        + "] AS edges FROM ml_long WHERE value IS NOT NULL GROUP BY variable",
+    "ks_bin": """SELECT variable, bin, count(*) AS n, CAST(sum(label) AS BIGINT) AS n1 FROM (SELECT l.variable, l.label,
+        CAST(len(list_filter(k.edges, lambda e: e < l.value)) AS INTEGER) + 1 AS bin
+        FROM ml_long l JOIN ks_edge k ON k.variable = l.variable WHERE l.value IS NOT NULL) GROUP BY variable, bin""",
+    "ks_result": """SELECT variable, max(gap) AS ks FROM (SELECT variable, abs(round_even(100 * (
+        CAST(sum(n1) OVER w AS DOUBLE) / sum(n1) OVER (PARTITION BY variable)
+        - CAST(sum(n - n1) OVER w AS DOUBLE) / sum(n - n1) OVER (PARTITION BY variable)), 1)) AS gap FROM ks_bin
+        WINDOW w AS (PARTITION BY variable ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY variable""",
+    "hashed": """SELECT *, CAST('0x' || substr(md5(row_id || '|1234'), 1, 15) AS BIGINT) AS h FROM ml_rows""",
     "clean_site": f"""SELECT {STUDY_CASE} AS tipo_estudio, site_uid, periodo_escolar, site_id, idmaster,
         {SITE_CASE} AS tipo_sitio, title, createdon, periodo
         FROM (SELECT site_id, {_uid('site_id')} AS site_uid, TRY_CAST(string_split(site_id, '-')[2] AS INTEGER) AS idmaster,

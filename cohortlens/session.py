@@ -14,7 +14,8 @@ DEFAULTS = {
     # split a skewed join partition even where that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # no call-site capture per column object
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
