@@ -50,10 +50,11 @@ def sel5(w):
     return _rounded(sel.informative(sel.information_value(stored_counts(w)), 0.1), "iv")
 
 
-CORR = " UNION ALL ".join(
-    f"SELECT '{a}' AS variable1, '{b}' AS variable2, corr({a}, {b}) AS r FROM ml_rows"
+# DuckDB gives NaN where a variable is constant
+CORR = "SELECT variable1, variable2, CASE WHEN isnan(c) THEN NULL ELSE c END AS r FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS variable1, '{b}' AS variable2, corr({a}, {b}) AS c FROM ml_rows"
     for i, a in enumerate(VARIABLES) for b in VARIABLES[i + 1:]
-)
+) + ")"
 
 
 @query("sel6", f"SELECT variable1, variable2, round(r, 6) + 0.0 AS r FROM ({CORR})")

@@ -40,7 +40,8 @@ def local_session(app: str = "cohortlens", cores: int | str = "*", **conf: str)
 def tune(spark: SparkSession) -> None:
     """Switch on the adaptive settings the joins count on, in a session made elsewhere."""
     for name, value in DEFAULTS.items():
-        spark.conf.set(name, value)
+        if spark.conf.isModifiable(name):
+            spark.conf.set(name, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
