@@ -11,50 +11,57 @@ from cohortlens.operators.columns import melt, union_labelled
 from cohortlens.operators.prefix import running_totals
 
 
-def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score with its positives and negatives."""
     y = F.col(label)
     return (
         df.where(F.col(score).isNotNull() & y.isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
+        .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
 
 
-def _ranked(df: DataFrame, label: str, score: str) -> DataFrame:
-    return running_totals(score_counts(df, label, score), "score", ["pos", "neg"])
+def _ranked(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    return running_totals(score_counts(df, label, score, by), "score", ["pos", "neg"], by)
 
 
-def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
+def _threshold() -> Column:
+    return F.coalesce((F.col("previous") + F.col("score")) / 2, F.lit(float("-inf")))
+
+
+def roc_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Sensitivity and specificity at every threshold, higher scores meaning class 1.
 
-    Thresholds lie midway between neighbouring scores, with -inf below and +inf above them.
+    Thresholds lie midway between neighbouring scores, with -inf below and +inf above them. The
+    row of the largest score brings the +inf point along, so the scores are read once.
     """
-    ranked = _ranked(df, label, score)
-    inner = ranked.select(
-        F.coalesce((F.col("previous") + F.col("score")) / 2, F.lit(float("-inf"))).alias("threshold"),
-        (1 - F.col("before_pos") / F.col("all_pos")).alias("sensitivity"),
-        (F.col("before_neg") / F.col("all_neg")).alias("specificity"),
+    ranked = _ranked(df, label, score, by)
+    point = F.struct(
+        _threshold().alias("threshold"),
+        (1 - F.try_divide(F.col("before_pos"), F.col("all_pos"))).alias("sensitivity"),
+        F.try_divide(F.col("before_neg"), F.col("all_neg")).alias("specificity"),
     )
-    top = df.select(label).limit(1).select(
+    end = F.struct(
         F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("sensitivity"), F.lit(1.0).alias("specificity")
     )
-    return inner.unionByName(top)
+    seen = F.col("before_pos") + F.col("before_neg") + F.col("pos") + F.col("neg")
+    points = F.when(seen == F.col("all_pos") + F.col("all_neg"), F.array(point, end)).otherwise(F.array(point))
+    return ranked.select(*by, F.explode(points).alias("point")).select(*by, "point.*")
 
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the curve, ties counting one half; one row."""
+def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the curve, ties counting one half; one row per group."""
     area = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0))
     pairs = F.max("all_pos").cast("double") * F.max("all_neg").cast("double")
-    return _ranked(df, label, score).agg(F.try_divide(area, pairs).alias("auc"))
+    return _ranked(df, label, score, by).groupBy(*by).agg(F.try_divide(area, pairs).alias("auc"))
 
 
-def gini(df: DataFrame, label: str, score: str) -> DataFrame:
-    return auc(df, label, score).select("auc", (2 * F.col("auc") - 1).alias("gini"))
+def gini(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    return auc(df, label, score, by).select(*by, "auc", (2 * F.col("auc") - 1).alias("gini"))
 
 
-def optimal_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Threshold with the largest sensitivity + specificity - 1, the lowest one on ties; one row.
+def optimal_threshold(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Threshold with the largest sensitivity + specificity - 1, the lowest one on ties.
 
     Candidates are compared by whole numbers, so rounding makes no ties and breaks none. The
     end points, where the index is 0, can only win when no threshold separates at all.
@@ -64,14 +71,13 @@ def optimal_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
 
     # index x positives x negatives
     index = big("before_neg") * big("all_pos") - big("before_pos") * big("all_neg")
-    threshold = F.coalesce((F.col("previous") + F.col("score")) / 2, F.lit(float("-inf")))
-    ranked = _ranked(df, label, score).select(
-        index.alias("index"), threshold.alias("threshold"), "all_pos", "all_neg"
+    ranked = _ranked(df, label, score, by).select(
+        *by, index.alias("index"), _threshold().alias("threshold"), "all_pos", "all_neg"
     )
     pairs = F.max("all_pos").cast("double") * F.max("all_neg").cast("double")
     best = F.max_by("threshold", F.struct("index", -F.col("threshold")))
-    return ranked.agg(
-        best.alias("threshold"), (F.max("index").cast("double") / pairs).alias("youden")
+    return ranked.groupBy(*by).agg(
+        best.alias("threshold"), F.try_divide(F.max("index").cast("double"), pairs).alias("youden")
     )
 
 

@@ -47,7 +47,8 @@ def quantile_cuts(df: DataFrame, score: str, probs: Sequence[float] = cat.LINEAR
 
 
 def band_table(
-    df: DataFrame, label: str, score: str, cuts: Sequence[float], top_good: bool = True
+    df: DataFrame, label: str, score: str, cuts: Sequence[float], top_good: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Classes, dropout share and population share per band, plain and cumulative, in percent.
 
@@ -56,7 +57,7 @@ def band_table(
     """
     y = F.col(label)
     bands = (
-        df.groupBy(band(F.col(score), cuts).alias("band"))
+        df.groupBy(*by, band(F.col(score), cuts).alias("band"))
         .agg(
             F.count_if(y == 0).alias("nodropout"),
             F.count_if(y == 1).alias("dropout"),
@@ -64,17 +65,19 @@ def band_table(
         )
     )
     place = F.coalesce(F.col("band"), F.lit(len(cuts)))
-    upto = Window.partitionBy(F.lit(0)).orderBy(place.desc() if top_good else place.asc())
-    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("nroestudiantes").over(Window.partitionBy(F.lit(0)))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ordered = group.orderBy(place.desc() if top_good else place.asc())
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("nroestudiantes").over(group)
     both = F.col("nodropout") + F.col("dropout")
 
     def percent(share: Column) -> Column:
         return F.bround(share * 100, 2)
 
     return bands.select(
+        *by,
         band_label(F.col("band"), cuts).alias("grupos"),
-        F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(place.desc() if top_good else place.asc())).alias("orden"),
+        F.row_number().over(ordered).alias("orden"),
         "nodropout", "dropout", "nroestudiantes",
         percent(F.col("dropout") / F.col("nroestudiantes")).alias("porcdropout"),
         percent(F.sum("dropout").over(upto) / F.sum("nroestudiantes").over(upto)).alias("porc_dropout_acum"),
@@ -83,10 +86,10 @@ def band_table(
     )
 
 
-def histogram(df: DataFrame, column: str, width: float) -> DataFrame:
+def histogram(df: DataFrame, column: str, width: float, by: Sequence[str] = ()) -> DataFrame:
     """Row counts per interval of one width, from 0."""
     start = F.floor(F.col(column) / F.lit(float(width))) * F.lit(float(width))
-    return df.where(F.col(column).isNotNull()).groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    return df.where(F.col(column).isNotNull()).groupBy(*by, start.alias("start")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:

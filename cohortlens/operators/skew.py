@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARE = 1 / 256
@@ -19,7 +21,13 @@ def heavy_keys(df: DataFrame, on: Sequence[str], share: float = SHARE) -> DataFr
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     limit = counts.agg(F.sum("_rows") * F.lit(share)).scalar()
-    return counts.where(F.col("_rows") > limit).select(*on, F.lit(True).alias("_heavy"))
+    return (
+        counts.where(F.col("_rows") > limit).where(~_without_key(on)).select(*on, F.lit(True).alias("_heavy"))
+    )
+
+
+def _without_key(on: Sequence[str]) -> Column:
+    return reduce(or_, [F.col(c).isNull() for c in on])
 
 
 def spread_join(
@@ -35,8 +43,8 @@ def spread_join(
 
     Rows of ``left`` under a heavy key are spread over ``salts`` parts by a hash of the
     ``spread`` columns, and the matching rows of ``right`` are repeated once per part; every
-    left row still meets each of its partners exactly once. All other keys join as usual. The
-    salt depends on column values only, so a recomputed task gives the same rows.
+    left row still meets each of its partners exactly once. Rows without a key, which have no
+    partner, are spread in the same way. All other keys join as usual. The salt depends on column values only, so a recomputed task gives the same rows.
 
     Finding the heavy keys reads ``left`` once more. Where ``left`` is the result of long work,
     pass ``heavy`` from the table it started from, or store it first.
@@ -48,7 +56,7 @@ def spread_join(
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     salted = (
         left.join(F.broadcast(heavy), on, "left")
-        .withColumn("_salt", F.when(F.col("_heavy"), salt).otherwise(0))
+        .withColumn("_salt", F.when(F.col("_heavy") | _without_key(on), salt).otherwise(0))
         .drop("_heavy")
     )
     parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

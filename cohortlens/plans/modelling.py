@@ -73,22 +73,51 @@ class Report:
             write_parquet(table, f"{out}/{name}")
 
 
-def fit_all(train: DataFrame, predictors: Sequence[str], label: str, trees: int, boosting: dict) -> dict:
+def fit_all(
+    train: DataFrame, predictors: Sequence[str], label: str, trees: int, boosting: dict, rounds: int = 100
+) -> dict:
     return {
         "boosting": models.fit_boosting(train, predictors, label, boosting),
         "forest": models.fit_forest(train, predictors, label, trees=trees),
         "elastic_net": models.fit_elastic_net(train, predictors, label),
-        "kernel_svm": models.fit_kernel_svm(train, predictors, label),
+        "kernel_svm": models.fit_kernel_svm(train, predictors, label, rounds=rounds),
     }
 
 
+def score_all(fitted: dict, flagged: DataFrame, later: DataFrame | None, keys: Sequence[str], label: str) -> DataFrame:
+    """Scores of every model on every data set, one long stored frame.
+
+    A row is scored once per model; training or test set and the set of all rows share it.
+    """
+    parts = []
+    for name, model in fitted.items():
+        own = F.when(F.col("train"), "Train").otherwise("Test")
+        rows = models.score(model, flagged).select(
+            F.lit(name).alias("model"), F.explode(F.array(F.lit("Toda"), own)).alias("dataset"), *keys, label, "p"
+        )
+        parts.append(rows)
+        if later is not None:
+            parts.append(models.score(model, later).select(
+                F.lit(name).alias("model"), F.lit("Back").alias("dataset"), *keys, label, "p"
+            ))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return cut_lineage(out, "scored")
+
+
 def run(
     wide: DataFrame, back: DataFrame | None = None, label: str = cat.LABEL, keys: Sequence[str] = ("key_id",),
     limits: Limits | None = None, trees: int = cat.FOREST_TREES, boosting: dict = cat.BOOSTING_FINAL,
-    log: str | None = None,
+    rounds: int = 100, log: str | None = None,
 ) -> Report:
-    """The whole modelling stage on the wide rows of one week; ``back`` is a later week."""
-    tune(wide.sparkSession)
+    """The whole modelling stage on the wide rows of one week; ``back`` is a later week.
+
+    All models and data sets are evaluated together, grouped by two columns, so curve, metrics
+    and bands cost one pass each however many of them there are.
+    """
+    spark = wide.sparkSession
+    tune(spark)
     names = select_predictors(wide, label, keys, limits)
     if not names:
         raise ValueError("no predictor passed the selection")
@@ -96,42 +125,46 @@ def run(
     predictors = [c for c in frame.columns if c not in {label, *keys}]
     flagged = cut_lineage(split.stratified_split(frame, label, keys, cat.TRAIN_SHARE, cat.SEED), "model_rows")
     later = None if back is None else cut_lineage(model_frame(back, names, label, keys), "back_rows")
-    sets = split.four_sets(flagged, later)
-    report = Report(predictors, fit_all(sets["Train"], predictors, label, trees, boosting))
-
-    metrics, curves, bands, areas = {}, {}, {}, {}
-    for name, model in report.models.items():
-        # scored once, then read by the curve, the metrics and the bands
-        scored = {s: cut_lineage(models.score(model, rows).select(*keys, label, "p"), "scored") for s, rows in sets.items()}
-        threshold = ev.optimal_threshold(scored["Train"], label, "p").first()["threshold"]
-        report.thresholds[name] = threshold
-        score = scorecard.clipped(scorecard.risk_score(F.col("p"))) if name == "kernel_svm" else scorecard.risk_score(F.col("p"))
-        train_scores = scored["Train"].select(score.alias("score"))
+    train = split.four_sets(flagged)["Train"]
+    report = Report(predictors, fit_all(train, predictors, label, trees, boosting, rounds))
+
+    tag = ["model", "dataset"]
+    scored = score_all(report.models, flagged, later, keys, label)
+    best = ev.optimal_threshold(scored.where("dataset = 'Train'"), label, "p", ["model"]).collect()
+    report.thresholds = {r["model"]: r["threshold"] for r in best}
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in report.thresholds.items() for x in pair]), F.col("model"))
+    margin = F.col("model") == "kernel_svm"
+    score = scorecard.risk_score(F.col("p"))
+    ready = scored.select(
+        *tag, label, "p",
+        ev.classify(F.col("p"), limit).alias("predicted"),
+        F.when(margin, scorecard.clipped(score)).otherwise(score).alias("score"),
+    )
+    bands = None
+    for name in report.models:
+        mine = ready.where(F.col("model") == name)
         cuts = {"boosting": cat.BOOSTING_CUTS, "forest": cat.FOREST_CUTS}.get(name)
-        cuts = cuts or scorecard.quantile_cuts(train_scores, "score")
-        for dataset, rows in scored.items():
-            hard = rows.withColumn("predicted", ev.classify(F.col("p"), threshold))
-            tag = f"{name}|{dataset}"
-            metrics[tag] = ev.classification_metrics(hard, label, "predicted")
-            curves[tag] = ev.roc_curve(rows, label, "p")
-            areas[tag] = ev.gini(rows, label, "p")
-            bands[tag] = scorecard.band_table(rows.withColumn("score", score), label, "score", cuts)
-        if log:
-            result = {f"{k}_{s.lower()}": areas[f"{name}|{s}"].first()[k] for s in scored for k in ("auc", "gini")}
-            runlog.log_run(wide.sparkSession, log, name, {"optimal_threshold": threshold}, result)
-
-    def labelled(frames):
-        parts = F.split("tag", "\\|")
-        stacked = ops.union_labelled(frames, "tag")
-        return stacked.select(F.get(parts, F.lit(0)).alias("model"), F.get(parts, F.lit(1)).alias("dataset"), *stacked.columns[1:])
+        cuts = cuts or scorecard.quantile_cuts(mine.where("dataset = 'Train'"), "score")
+        part = scorecard.band_table(mine, label, "score", cuts, by=tag)
+        bands = part if bands is None else bands.unionByName(part)
+    gini = cut_lineage(ev.gini(ready, label, "p", tag), "gini")
+    if log:
+        areas = gini.collect()
+        for name, threshold in report.thresholds.items():
+            result = {f"{k}_{r['dataset'].lower()}": r[k] for r in areas if r["model"] == name for k in ("auc", "gini")}
+            runlog.log_run(spark, log, name, {"optimal_threshold": threshold}, result)
 
     report.tables = {
-        "metrics": labelled(metrics), "roc": labelled(curves), "gini": labelled(areas), "bands": labelled(bands),
+        "metrics": ev.classification_metrics(ready, label, "predicted", tag),
+        "roc": ev.roc_curve(ready, label, "p", tag),
+        "gini": gini,
+        "bands": bands,
+        "histogram": scorecard.histogram(ready, "score", 50, tag),
         "balance": scorecard.class_balance(wide, label),
         "importance": ops.union_labelled({
             "boosting": explain.tree_importance(report.models["boosting"], predictors, wide),
             "forest": explain.permutation_importance(
-                report.models["forest"], sets["Train"], predictors, label, keys
+                report.models["forest"], train, predictors, label, keys
             ).select("predictor", F.col("inc_mse_percent").alias("importance")),
             "elastic_net": explain.linear_coefficients(report.models["elastic_net"], predictors, wide).toDF(
                 "predictor", "importance"
