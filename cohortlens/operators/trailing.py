@@ -125,12 +125,16 @@ def labelled_keys(outcomes: DataFrame) -> DataFrame:
 def assemble(outcomes: DataFrame, events: DataFrame, resources: DataFrame, logins: DataFrame) -> DataFrame:
     """Wide analytic row: every labelled student with whatever features exist.
 
-    All sides hold one row per key, and the features left their aggregate already partitioned
-    by it, so only the outcomes move.
+    A labelled row of three columns grows to some 1,550, so its partitions must not be sized by
+    what goes in: the students are partitioned by key into as many parts as the session has
+    shuffle partitions, a number that is not coalesced. The joins follow on that partitioning,
+    the widest last, because every join copies the row it widens.
     """
+    parts = int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         labelled_keys(outcomes)
-        .join(events, "key_id", "left")
-        .join(resources, "key_id", "left")
+        .repartition(parts, "key_id")
         .join(logins, "key_id", "left")
+        .join(resources, "key_id", "left")
+        .join(events, "key_id", "left")
     )

@@ -47,6 +47,7 @@ class World:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._tables: dict[str, DataFrame] = {}
+        self._places: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -196,7 +197,15 @@ class World:
         return programmes.programme_roster(sites, programmes.select_programmes(sites))
 
     def enrolment(self) -> DataFrame:
-        return enrolment.enrol_students(self.site_user(), self.roster(), self.role_grant(), self.role())
+        # the user list is a stored table where it comes from, here it is made by a join
+        users = cut_lineage(self.site_user(), "site_user")
+        return enrolment.enrol_students(users, self.roster(), self.role_grant(), self.role())
+
+    def places(self) -> DataFrame:
+        """Enrolment as the roll-ups of one query read it: stored once, of known size."""
+        if self._places is None:
+            self._places = cut_lineage(self.enrolment(), "enrolment")
+        return self._places
 
     def books(self) -> DataFrame:
         return grades.gradebooks(self.gradebook(), self.roster())
@@ -211,13 +220,13 @@ class World:
         return grades.student_outcomes(grades.outcome_flags(self.records()))
 
     def weekly_events(self) -> DataFrame:
-        return weekly.weekly_events(self.events(), self.enrolment())
+        return weekly.weekly_events(self.events(), self.places())
 
     def weekly_resources(self) -> DataFrame:
-        return weekly.weekly_resources(self.resources(), self.enrolment())
+        return weekly.weekly_resources(self.resources(), self.places())
 
     def weekly_logins(self) -> DataFrame:
-        return weekly.weekly_logins(self.logins(), self.enrolment())
+        return weekly.weekly_logins(self.logins(), self.places())
 
     # the weekly tables are stored between the stages, as the indicators read them twice
 

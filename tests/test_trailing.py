@@ -92,6 +92,6 @@ def test_assemble_keeps_labelled_students(spark):
     outcomes = spark.createDataFrame([("P", "a", 1, 6, 1, 0, 0), ("P", "z", 1, 5, 0, 0, 0)], "site_uid string, student_id string, tprogramas long, tasignaturas long, marca_abandono int, marca_extraordinaria int, marca_reprobado int")
     one = spark.createDataFrame([("P_a", 3)], "key_id string, e int")
     wide = trailing.assemble(outcomes, one, one.withColumnRenamed("e", "r"), one.withColumnRenamed("e", "l"))
-    assert wide.columns == ["key_id", "tasignaturas", "marca_abandono", "e", "r", "l"]
+    assert wide.columns == ["key_id", "tasignaturas", "marca_abandono", "l", "r", "e"]
     assert {tuple(r) for r in wide.collect()} == {("P_a", 6, 1, 3, 3, 3), ("P_z", 5, 0, None, None, None)}
     assert wide.where(F.col("e").isNull()).count() == 1
