@@ -10,8 +10,23 @@ from pyspark.sql import functions as F
 SLOTS = 256
 
 
-def _slot(value: Column, edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e < value))
+# edges are searched in blocks of this many
+_BLOCK = 16
+
+
+def _edges(order: str, slots: int) -> list[Column]:
+    """Range edges of about equal row count, and the last edge of every full block."""
+    shares = F.array(*[F.lit(i / slots) for i in range(1, slots)])
+    edges = F.array_distinct(F.percentile_approx(order, shares))
+    tops = F.filter(edges, lambda e, i: i % _BLOCK == _BLOCK - 1)
+    return [edges.alias("_edges"), tops.alias("_tops")]
+
+
+def _slot(value: Column) -> Column:
+    """Number of edges below a value: whole blocks first, then inside one block."""
+    below = F.size(F.filter("_tops", lambda e: e < value)) * _BLOCK
+    block = F.slice("_edges", below + 1, F.lit(_BLOCK))
+    return below + F.size(F.filter(block, lambda e: e < value))
 
 
 def running_totals(
@@ -31,12 +46,9 @@ def running_totals(
     by = list(by)
     group = by or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
-    shares = F.array(*[F.lit(i / slots) for i in range(1, slots)])
-    edges = rows.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(order, shares)).alias("_edges")
-    )
+    edges = rows.groupBy(*group).agg(*_edges(order, slots))
     placed = rows.join(F.broadcast(edges), group).select(
-        *rows.columns, _slot(F.col(order), F.col("_edges")).alias("_slot")
+        *rows.columns, _slot(F.col(order)).alias("_slot")
     )
     per_slot = placed.groupBy(*group, "_slot").agg(
         *[F.sum(t).alias(f"_sum_{t}") for t in totals], F.max(order).alias("_top")

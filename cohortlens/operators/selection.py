@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.prefix import quantiles_by
 
+# relative size below which a variance is rounding only, that is, the variable is constant
+_FLAT = 1e-12
 DECILES = tuple(i / 10 for i in range(1, 11))
 
 
@@ -197,7 +199,10 @@ def correlation_pairs(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     return sums.select(
         F.get(names, F.col("i")).alias("variable1"),
         F.get(names, F.col("j")).alias("variable2"),
-        F.when((var_x > 0) & (var_y > 0), cov / F.sqrt(var_x * var_y)).alias("r"),
+        F.when(
+            (var_x > _FLAT * F.col("n") * F.col("xx")) & (var_y > _FLAT * F.col("n") * F.col("yy")),
+            cov / F.sqrt(var_x * var_y),
+        ).alias("r"),
     )
 
 

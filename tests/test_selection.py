@@ -104,6 +104,13 @@ def test_correlation_is_pairwise_complete(frame):
     assert len(got) == 15
 
 
+def test_correlation_with_a_constant_is_null(spark):
+    # y is constant wherever x is there
+    rows = [(float(i) if i % 5 else None, 1.0 if i % 40 == 0 else 0.0) for i in range(4000)]
+    pair = sel.correlation_pairs(spark.createDataFrame(rows, "x double, y double"), ["x", "y"]).first()
+    assert pair["r"] is None
+
+
 def brute_prune(pairs, iv, limit):
     """The walk written as nested loops over the full symmetric matrix."""
     order = sorted(iv, key=lambda v: (-iv[v], v))
