@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,7 +246,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         column = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
-        counts = np.asarray(pa.compute.list_value_length(column)).astype(np.int64)
+        counts = np.asarray(pc.list_value_length(column)).astype(np.int64)
         flat = np.asarray(column.flatten())
         data, sizes = encoder(path, pattern).vocabulary.decode(flat, counts)
         yield pa.RecordBatch.from_arrays(

@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,9 +94,9 @@ def cut(batch: pa.RecordBatch, limit: int = 8_000_000) -> Iterator[pa.RecordBatc
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-            sizes += np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
+            sizes += np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
         elif pa.types.is_list(column.type):
-            sizes += 8 * np.asarray(pa.compute.list_value_length(column).fill_null(0)).astype(np.int64)
+            sizes += 8 * np.asarray(pc.list_value_length(column).fill_null(0)).astype(np.int64)
     group = np.cumsum(sizes + 16) // limit
     edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
