@@ -103,6 +103,22 @@ def cut(batch: pa.RecordBatch, limit: int = 8_000_000) -> Iterator[pa.RecordBatc
         yield batch.slice(int(a), int(b - a))
 
 
+def carried(df: DataFrame, carry: bool = True) -> list[Column]:
+    """The row itself as one column, which takes part in no name clash."""
+    return [F.struct(*(df[c] for c in df.columns)).alias("row")] if carry else []
+
+
+def unpacked(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The carried rows as a table with the columns of ``like``, some of them changed."""
+    return df.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in like.columns))
+
+
+def schema_of(rows: DataFrame, result: str) -> str:
+    """key, the result columns, and the carried row if there is one."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return f"key {kinds['key']}, {result}" + (f", row {kinds['row']}" if "row" in kinds else "")
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts, null as empty."""
     return [t or "" for t in column.to_pylist()]

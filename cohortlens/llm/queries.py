@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import bpe, graph, html, packing, topk, urls
+from cohortlens.llm import bpe, graph, html, language, neardup, packing, passages, topk, toxicity, urls
 
 QUERIES = {
     "op1_topk": topk.query,
@@ -10,6 +10,14 @@ QUERIES = {
     "op3_html": html.query,
     "op4_packing": packing.query,
     "op5_graph": graph.query,
+    "op6_neardup": neardup.query,
+    "op7_language": language.query,
+    "op8_toxicity": toxicity.query,
+    "op9_passages": passages.query,
     "op10_urls": urls.query,
 }
-ORACLES = {"op1_topk": topk.SQL}
+ORACLES = {
+    "op1_topk": topk.SQL,
+    "op6_neardup": neardup.SQL,
+    "op9_passages": passages.SQL,
+}
