@@ -26,7 +26,7 @@ from cohortlens.session import tune
 NONE = np.int32(2**31 - 1)
 CELLS = 2_000_000  # of one matrix
 LONG = 256  # bytes; longer words are merged one by one
-KEPT = 300_000  # different chunks kept from batch to batch
+KEPT = 600_000  # different chunks kept from batch to batch
 KEPT_CHARS = 30_000_000
 
 
