@@ -26,7 +26,7 @@ from cohortlens.session import tune
 NONE = np.int32(2**31 - 1)
 CELLS = 2_000_000  # of one matrix
 LONG = 256  # bytes; longer words are merged one by one
-KEPT = 600_000  # different chunks kept from batch to batch
+KEPT = 300_000  # different chunks kept from batch to batch
 KEPT_CHARS = 30_000_000
 
 
@@ -175,7 +175,7 @@ class Encoder:
     """Texts to ids. Different chunks are encoded once and kept, up to ``KEPT`` of them."""
 
     def __init__(self, path: str, pattern: str):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = vocabulary(path)
         self.match = regex.compile(pattern).findall
         self._clear()
 
@@ -216,9 +216,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One per Python worker."""
-    return Encoder(path, pattern)
+def vocabulary(path: str) -> Vocabulary:
+    """One per Python worker; the chunks that an encoder keeps go with its task."""
+    return Vocabulary(path)
 
 
 def encode(
@@ -228,19 +228,23 @@ def encode(
 
     A null or empty text has no ids. Repeated rows and rows without a key are encoded like any
     other. Other columns of ``docs`` are ignored, so their names cannot clash. There is no
-    exchange; a task holds slices of about 8 MB of text.
+    exchange; a task holds slices of about 4 MB of text.
     """
     kind = docs.schema[key].dataType.simpleString()
 
+    encoder: list[Encoder] = []
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, counts = encoder(path, pattern).encode(texts_of(batch.column(1)))
+        if not encoder:
+            encoder.append(Encoder(path, pattern))
+        ids, counts = encoder[0].encode(texts_of(batch.column(1)))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids, counts, pa.int32())], ["key", "ids"])
 
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     return map_batches(rows, run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, ids, data binary): the bytes of every list of ids; null lists count as empty."""
     kind = encoded.schema[key].dataType.simpleString()
 
@@ -248,7 +252,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids
         column = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
         counts = np.asarray(pc.list_value_length(column)).astype(np.int64)
         flat = np.asarray(column.flatten())
-        data, sizes = encoder(path, pattern).vocabulary.decode(flat, counts)
+        data, sizes = vocabulary(path).decode(flat, counts)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), lists(flat, counts, pa.int32()), binaries(data, sizes)], ["key", "ids", "data"]
         )
@@ -262,7 +266,7 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     tune(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decode(encode(read(spark, folder, "documents"), path, pattern), path, pattern)
+    both = decode(encode(read(spark, folder, "documents"), path, pattern), path)
     written = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return both.select(
         "doc_id",

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import shared_dir, tune
 
+#: Bytes that Spark hands to a Python worker at a time, one row at least.
+SENT = str(16 << 20)
+
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -74,7 +77,8 @@ def remainder(column: Column, parts: int) -> Column:
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` over batches cut at about 16 MB, so that a worker's arrays stay small."""
+    """``mapInArrow`` over batches cut at about 4 MB, so that a worker's arrays stay small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +88,7 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def cut(batch: pa.RecordBatch, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``limit`` bytes, of one row at least."""
     if batch.num_rows == 0:
         return

@@ -41,7 +41,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Trigrams of letters, with one mark for what stands between words, and the text of each."""
     joined = " ".join(t.lower() for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(texts)), [len(t.lower()) + 1 for t in texts])[: len(points)]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t.lower()) + 1 for t in texts])[: len(points)]
     code = _letters()[0][points].astype(np.int32)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0)

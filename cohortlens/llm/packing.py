@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm.common import Numbered, Stage, binaries, cut, offsets_of, ragged, read, texts_of
+from cohortlens.llm.common import SENT, Numbered, Stage, binaries, cut, offsets_of, ragged, read, texts_of
 
-KEPT = 600_000  # different words kept from batch to batch
+KEPT = 300_000  # different words kept from batch to batch
 KEPT_CHARS = 30_000_000
 JOINED = 500  # words that go to the tokenizer as one text
 #: Fixed value: how the tokenizer cuts a word into pieces.
@@ -32,6 +32,12 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SMALL = 1_000_000  # rows, of 16 bytes, up to which the totals of the tasks are broadcast
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> Tokenizer:
+    """One per Python worker; the words that an encoder keeps go with its task."""
+    return Tokenizer.from_file(path)
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space: different words are encoded once.
 
@@ -42,7 +48,7 @@ class WordEncoder:
     def __init__(self, path: str):
         # the tasks of an executor are parallel already
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.ends = np.array([t.endswith("</w>") for t in tokens])
         self._clear()
@@ -96,12 +102,6 @@ class WordEncoder:
         return self.ids[ragged(self.starts[codes], lengths)], sums[edges[1:]] - sums[edges[:-1]]
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """One per Python worker."""
-    return WordEncoder(path)
-
-
 def pack(docs: DataFrame, path: str, width: int = 2048, end: int = 1) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
@@ -115,10 +115,10 @@ def pack(docs: DataFrame, path: str, width: int = 2048, end: int = 1) -> DataFra
     stage = Stage(spark, "packing")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
+        part, before, encoder = TaskContext.get().partitionId(), 0, WordEncoder(path)
         for big in batches:
             for batch in cut(big):
-                ids, counts = word_encoder(path).encode(texts_of(batch.column(1)), end)
+                ids, counts = encoder.encode(texts_of(batch.column(1)), end)
                 ahead = before + offsets_of(counts)[:-1]
                 before += int(counts.sum())
                 yield pa.RecordBatch.from_arrays(
@@ -132,6 +132,7 @@ def pack(docs: DataFrame, path: str, width: int = 2048, end: int = 1) -> DataFra
                     ["part", "doc_id", "doc_tokens", "ahead", "data"],
                 )
 
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SENT)
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     schema = "part long, doc_id long, doc_tokens long, ahead long, data binary"
     coded = stage.store(rows.mapInArrow(run, schema), "ids")

@@ -8,8 +8,7 @@ score of its windows, which overlap and cover the whole text.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,13 +21,14 @@ from cohortlens.session import tune
 
 WINDOW, STEP = 128, 96  # words
 UNITS = 6  # of each direction
-POSITIVE, NEGATIVE = 1500, 3000  # documents of either class in the sample
+POSITIVE, NEGATIVE = 1000, 2000  # documents of either class in the sample
 PER_DOCUMENT = 4  # windows of a document in the sample
 SEED = 7
 RUNS = (4, 5, 6)  # bytes
 EPOCHS, GROUP, RATE = 4, 96, 0.015
 SURE = 3.0  # standard errors from which a word or run counts
-KEPT = 300_000  # words kept from batch to batch
+KEPT = 200_000  # words kept from batch to batch
+PORTION = 20_000  # words whose runs are looked at together
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`^@0123456789…«»“”‘’¡¿"
 
 
@@ -65,7 +65,7 @@ def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def strength(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
     """Standard errors by which the toxic share exceeds ``rate``, from ``SURE`` on, in units of four."""
-    n = toxic + clean
+    n = np.maximum(toxic + clean, 1)
     z = (toxic - n * rate) / np.sqrt(n * rate * (1 - rate))
     return np.clip((z - SURE) / 4, 0, 3)
 
@@ -81,6 +81,8 @@ class Model:
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """Inputs of distinct words: one, word, strongest run, mean of the runs."""
+        if len(words) > PORTION:
+            return np.concatenate([self.inputs(words[i: i + PORTION]) for i in range(0, len(words), PORTION)])
         plain = [bare(w) for w in words]
         out = np.zeros((len(words), 4), np.float32)
         out[:, 0] = 1
@@ -161,38 +163,44 @@ def backward(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, keep: li
     return g
 
 
-def train(windows: list[list[bytes]], documents: list[int], toxic: list[int]) -> Model:
-    """Model from sampled windows, the document of each and its label."""
+def train(windows: Iterable[bytes], documents: list[int], toxic: list[int]) -> Model:
+    """Model from sampled windows (words joined by spaces), the document of each and its label."""
     labels = np.array(toxic)
     model = Model()
     if not len(labels) or labels.min() == labels.max():
         return model
+    index = Numbered()
+    codes = [index.codes([w.split()]).astype(np.int32) for w in windows]
     # the document frequency of words and runs in either class
-    sets: dict[int, set[bytes]] = {}
-    for document, window in zip(documents, windows, strict=True):
-        sets.setdefault(document, set()).update(window)
     label_of = dict(zip(documents, toxic, strict=True))
-    plain = {d: list({bare(x) for x in found} - {b""}) for d, found in sets.items()}
     rate = sum(label_of.values()) / len(label_of)
-    counts = (Counter(), Counter())
-    for document, found in plain.items():
-        counts[label_of[document]].update(found)
-    keys = [k for k, n in counts[1].items() if n > 1]
-    mark = strength(*(np.array([counts[c][k] for k in keys], float) for c in (1, 0)), rate)
-    model.words = {k: float(m) for k, m in zip(keys, mark, strict=True) if m > 0}
-    of_toxic = [np.unique(runs(words)[0]) for d, words in plain.items() if label_of[d] and words]
-    found, n = np.unique(np.concatenate([*of_toxic, np.zeros(0, np.uint64)]), return_counts=True)
+    bares = Numbered()
+    bare_of = bares.codes([[bare(w) for w in index]])
+    plain = list(bares)
+    of: dict[int, list[np.ndarray]] = {}
+    for document, code in zip(documents, codes, strict=True):
+        of.setdefault(document, []).append(bare_of[code])
+    sets = {d: np.unique(np.concatenate(parts)) for d, parts in of.items()}
+    counts = np.zeros((2, len(plain)))
+    for document, some in sets.items():
+        counts[label_of[document], some] += 1
+    mark = np.where(counts[1] > 1, strength(counts[1], counts[0], rate), 0)
+    model.words = {plain[i]: float(mark[i]) for i in np.flatnonzero(mark) if plain[i]}
+
+    def runs_of(document: int) -> np.ndarray:
+        return np.unique(runs([plain[i] for i in sets[document] if plain[i]] or [b""])[0])
+
+    of_toxic = [runs_of(d) for d in sets if label_of[d]]
+    found, n = np.unique(np.concatenate(of_toxic), return_counts=True)
     found, n = found[n > 1], n[n > 1]
     clean = np.zeros(len(found), np.int64)
-    for document, words in plain.items():
-        if not label_of[document] and words and len(found):
-            each = np.unique(runs(words)[0])
+    for document in sets:
+        if not label_of[document] and len(found):
+            each = runs_of(document)
             at = np.minimum(np.searchsorted(found, each), len(found) - 1)
             clean[at[found[at] == each]] += 1
     mark = strength(n.astype(float), clean.astype(float), rate)
     model.runs, model.marks = found[mark > 0], mark[mark > 0]
-    index = Numbered()
-    codes = [index.codes([w]) for w in windows]
     inputs = model.inputs(list(index))
     marked = inputs[:, 1:3].max(1)
     # one window of each document: of a toxic one that with the most marks, of a clean one any
@@ -300,7 +308,7 @@ class Scorer:
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list, list, list]:
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[bytes], list[int], list[int]]:
     """Windows, document number and label of the sampled documents.
 
     At most ``POSITIVE`` and ``NEGATIVE`` documents, those of smallest hash, and of each at most
@@ -330,7 +338,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     found = map_batches(texts.select("id", "toxic", "text"), run, "id long, start long, toxic int, words binary").toArrow()
     # a key with several rows counts once; in a fixed order
     table = found.group_by(["id", "start"]).aggregate([("toxic", "max"), ("words", "min")]).sort_by([("id", "ascending"), ("start", "ascending")])
-    return [w.split() for w in table["words_min"].to_pylist()], table["id"].to_pylist(), table["toxic_max"].to_pylist()
+    return table["words_min"].to_pylist(), table["id"].to_pylist(), table["toxic_max"].to_pylist()
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
