@@ -125,7 +125,9 @@ def search(
         found = found.agg(F.min_by(F.struct("bin", "above"), "bin").alias("at"))
         step = 1 << max(0, bits - BITS)
         state = state.join(found.withColumnRenamed("query_id", "vec_id"), "vec_id").select(
-            "dim", "qb", "vec_id", "v", (F.col("low") + F.col("at.bin") * step).alias("low"),
+            # from the middle bin, so that no sum leaves 64 bits
+            "dim", "qb", "vec_id", "v",
+            (F.col("low") + F.lit(step << (BITS - 2)) + F.lit(step << (BITS - 2)) + (F.col("at.bin") - (1 << (BITS - 1))) * F.lit(step).cast("long")).alias("low"),
             (F.col("need") - F.col("at.above")).alias("need"),
         )
         state = stage.store(state, f"state{turn}")

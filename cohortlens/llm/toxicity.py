@@ -219,7 +219,7 @@ def train(windows: Iterable[bytes], documents: list[int], toxic: list[int]) -> M
 
 
 def _border(weights, inputs, codes, labels, chosen, chosen_labels) -> np.float32:
-    """Logit half way between nearly all clean windows and nearly all toxic ones, where they are apart."""
+    """Logit half way between nearly all clean windows and nearly all toxic ones; above the clean ones if they overlap."""
 
     def logits(some: list) -> np.ndarray:
         parts = [forward(weights, *padded(inputs, some[i: i + 1024])) for i in range(0, len(some), 1024)]
@@ -228,7 +228,7 @@ def _border(weights, inputs, codes, labels, chosen, chosen_labels) -> np.float32
     clean = logits([c for c, y in zip(codes, labels, strict=True) if not y])
     toxic = logits([c for c, y in zip(chosen, chosen_labels, strict=True) if y])
     low, high = np.quantile(clean, 0.9995), np.quantile(toxic, 0.02)
-    return np.float32((low + high) / 2 if low < high else 0)
+    return np.float32((low + high) / 2 if low < high else low + 0.01)
 
 
 def _fit(inputs: np.ndarray, codes: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
