@@ -108,6 +108,8 @@ def inner_cuts(counts: DataFrame, bins: int = 10) -> DataFrame:
 def quantile_bins(counts: DataFrame, bins: int = 10) -> DataFrame:
     """Class counts per left-closed quantile bin; bin NULL holds the missing values.
 
+    ``cut`` is the break point at which a bin begins; the lowest bin has none.
+
     The cuts, one short array per variable, are broadcast: as many rows as there are columns.
     """
     cuts = inner_cuts(counts, bins)
@@ -115,10 +117,13 @@ def quantile_bins(counts: DataFrame, bins: int = 10) -> DataFrame:
     place = F.size(F.filter("cuts", lambda c: c <= value))
     return (
         counts.join(F.broadcast(cuts), "variable", "left")
-        .select("variable", F.when(value.isNotNull(), place).alias("bin"), "value", "n", "n1")
+        .select(
+            "variable", F.when(value.isNotNull(), place).alias("bin"), "value", "n", "n1",
+            F.when(value.isNotNull() & (place > 0), F.get("cuts", place - 1)).alias("cut"),
+        )
         .groupBy("variable", "bin")
         .agg(
-            F.min("value").alias("low"), F.max("value").alias("high"),
+            F.min("value").alias("low"), F.max("value").alias("high"), F.max("cut").alias("cut"),
             F.sum("n").alias("n"), F.sum("n1").alias("n1"),
         )
     )
@@ -136,7 +141,7 @@ def woe_table(binned: DataFrame) -> DataFrame:
     woe = F.when((F.col("n1") > 0) & (good > 0), F.log(share1 / share0)).otherwise(F.lit(0.0))
     return binned.select(
         "variable", "bin", "low", "high", "n", good.alias("n0"), "n1",
-        share1.alias("share1"), share0.alias("share0"), woe.alias("woe"),
+        share1.alias("share1"), share0.alias("share0"), woe.alias("woe"), "cut",
     ).withColumn("iv", (F.col("share1") - F.col("share0")) * F.col("woe"))
 
 
@@ -324,13 +329,13 @@ def _merge_fine_bins(limit: int, stop: float, smallest: float):
                 break
             cuts, best = [*cuts, -point], found
         spans, size, hits = groups(cuts) if len(n) else ([], [], [])
-        low, high = known["low"].to_numpy(), known["high"].to_numpy()
+        low, high, cut = (known[c].to_numpy() for c in ("low", "high", "cut"))
         rows = [
-            (fine["variable"].iloc[0], i, low[a], high[b - 1], int(size[i]), int(hits[i]))
+            (fine["variable"].iloc[0], i, low[a], high[b - 1], cut[a], int(size[i]), int(hits[i]))
             for i, (a, b) in enumerate(spans)
         ]
-        rows += [(r.variable, None, None, None, int(r.n), int(r.n1)) for r in missing.itertuples()]
-        out = pd.DataFrame(rows, columns=["variable", "bin", "low", "high", "n", "n1"])
+        rows += [(r.variable, None, None, None, None, int(r.n), int(r.n1)) for r in missing.itertuples()]
+        out = pd.DataFrame(rows, columns=["variable", "bin", "low", "high", "cut", "n", "n1"])
         return out.astype({"bin": "Int32"})
 
     return run
@@ -349,7 +354,7 @@ def woe_bins_supervised(
         .groupBy("variable")
         .applyInPandas(
             _merge_fine_bins(limit, stop, smallest),
-            "variable string, bin int, low double, high double, n long, n1 long",
+            "variable string, bin int, low double, high double, cut double, n long, n1 long",
         )
     )
     return woe_table(merged)
@@ -359,8 +364,8 @@ def woe_apply(df: DataFrame, bins: DataFrame, variables: Sequence[str]) -> DataF
     """Replace every variable by the weight of its bin, named ``<variable>_woe``.
 
     The bin table, a few rows per variable, is read once and becomes one CASE per variable, so
-    a frame of any size is mapped in a single projection. A value above a bin's highest seen
-    value and below the next bin's lowest falls into the lower bin.
+    a frame of any size is mapped in a single projection. Bins begin at their break points, so
+    a value that was never seen falls where ``quantile_bins`` would put it.
     """
     by_variable: dict[str, list] = {v: [] for v in variables}
     for row in bins.where(F.col("variable").isin(*variables)).collect():
@@ -373,7 +378,7 @@ def woe_apply(df: DataFrame, bins: DataFrame, variables: Sequence[str]) -> DataF
         column = F.col(variable).cast("double")
         chain = F.when(column.isNull(), F.lit(missing))
         for row, following in zip(known, known[1:]):
-            chain = chain.when(column < F.lit(following["low"]), F.lit(row["woe"]))
+            chain = chain.when(column < F.lit(following["cut"]), F.lit(row["woe"]))
         chain = chain.otherwise(F.lit(known[-1]["woe"] if known else 0.0))
         out.append(chain.alias(f"{variable}_woe"))
     return df.select(*[c for c in df.columns if c not in by_variable], *out)

@@ -85,7 +85,7 @@ def sel9(w):
 @query("sel10", """SELECT variable, bin, low, high, n, n0, n1, round(share1, 9) AS share1, round(share0, 9) AS share0,
     round(woe, 9) AS woe, round(iv, 9) AS iv FROM woe""")
 def sel10(w):
-    return _rounded(sel.woe_bins(stored_counts(w)), "share1", "share0", "woe", "iv")
+    return _rounded(sel.woe_bins(stored_counts(w)).drop("cut"), "share1", "share0", "woe", "iv")
 
 
 @query("sel10_supervised")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import sources
 from cohortlens.plans.registry.base import query
-from cohortlens.session import work_path
+from cohortlens.session import cut_lineage, work_path
 
 LOGIN_SCHEMA = "site_uid string, periodo_week int, user_id long, tt_login long"
 
@@ -31,17 +31,19 @@ def src3(w):
     return sources.read_wide(w.spark, path, "o_orderkey long, o_custkey long, empty double, o_totalprice double")
 
 
-def _weeks(w, weeks):
+def _weeks(w, again=()):
+    """Every week of the panel stored on its own; the weeks of ``again`` once more."""
     path = work_path(w.spark, "weeks")
-    logins = w.weekly_logins()
-    for week in weeks:
+    logins = cut_lineage(w.weekly_logins(), "logins")
+    weeks = [r[0] for r in logins.select("periodo_week").distinct().orderBy("periodo_week").collect()]
+    for week in [*weeks, *again]:
         sources.write_period(logins.where(F.col("periodo_week") == week).drop("periodo_week"), path, week)
     return path
 
 
 @query("src4", "SELECT site_uid, user_id, tt_login FROM weekly_login WHERE periodo_week = 5")
 def src4(w):
-    return sources.read_period(w.spark, _weeks(w, (4, 5)), 5)
+    return sources.read_period(w.spark, _weeks(w), 5)
 
 
 @query("snk1", "SELECT * FROM weekly_resource")
@@ -51,10 +53,10 @@ def snk1(w):
     return sources.read_table(w.spark, path.rsplit("/", 1)[0], "resources")
 
 
-@query("snk2", "SELECT site_uid, user_id, tt_login, periodo_week FROM weekly_login WHERE periodo_week IN (4, 5)")
+@query("snk2", "SELECT site_uid, user_id, tt_login, periodo_week FROM weekly_login")
 def snk2(w):
     # the second write of week 5 replaces the first
-    return w.spark.read.parquet(_weeks(w, (5, 4, 5)))
+    return w.spark.read.parquet(_weeks(w, (5,)))
 
 
 @query("snk3", "SELECT * FROM weekly_login")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -45,19 +44,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
-
-    Only a local master may fall back to a temporary folder, since driver and executors are
-    then one process; on a cluster a missing setting is an error.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session, which must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="cohortlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return named.rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -12,8 +12,9 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", **{"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("tests", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared})
     yield session
     session.stop()
 

@@ -165,3 +165,14 @@ def test_supervised_bins(frame):
     assert 2 <= len(a) <= 8 and sum(r["n"] for r in a) == 1500 and all(r["n"] >= 75 for r in a)
     assert [r["woe"] for r in a] == sorted(r["woe"] for r in a)
     assert bins.where("variable = 'flat'").count() == 1
+
+
+def test_unseen_values_fall_where_the_breaks_put_them(spark):
+    seen = spark.createDataFrame([(float(i), int(i > 9)) for i in (*range(5), *range(15, 20))], "x double, label int")
+    bins = sel.woe_table(sel.quantile_bins(sel.value_counts(seen, "label", ["x"]), 2))
+    weight = {r["bin"]: r["woe"] for r in bins.collect()}
+    cut = bins.agg({"cut": "max"}).first()[0]
+    assert 4 < cut <= 15
+    new = spark.createDataFrame([(v,) for v in (-5.0, cut - 0.01, cut, cut + 0.01, 99.0)], "x double")
+    found = [r["x_woe"] for r in sel.woe_apply(new, bins, ["x"]).collect()]
+    assert found == [weight[0], weight[0], weight[1], weight[1], weight[1]]
