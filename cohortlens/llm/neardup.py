@@ -4,6 +4,8 @@ Two small collections of half keys are made per document, each half key from ``R
 table of the index is named by one half key of either collection, so 2 x SIDE half keys make
 SIDE x SIDE tables: the minhash work is about the square root of what independent tables take. Pairs that
 meet in a table are confirmed on their full shingle sets, and confirmed links give components.
+Before texts are fetched, a pair is held against a lower bound of the difference of the two sets, which
+only pairs below the threshold can exceed.
 
 A pair with similarity s is missed if no half key of one collection agrees, with probability below
 2 (1 - s^ROWS)^SIDE: 7 in 100,000 at 0.8, 4 in ten million at 0.9.
@@ -18,12 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import Stage, WordHashes, lists, map_batches, mix, offsets_of, read, texts_of, windows
+from cohortlens.llm.common import (
+    Stage,
+    WordHashes,
+    binaries,
+    lists,
+    map_batches,
+    mix,
+    offsets_of,
+    read,
+    texts_of,
+    windows,
+)
 from cohortlens.llm.components import roots
 
 SIDE, ROWS = 10, 2
 FACTOR = 4  # by which the pivots of a crowded bucket grow from round to round
 SEED = 20240611
+LEAST_CELLS, MOST_CELLS = 32, 4096  # of a counting sketch; powers of two
+FULL = 255  # where a cell of a sketch stops counting
 
 
 def cells(text: str) -> list[bytes]:
@@ -74,8 +89,30 @@ def half_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counting sketches, one after the other, and their sizes: how many shingles of a set fall into each cell.
+
+    A set of n shingles has the power of two from n on as number of cells, within fixed limits.
+    """
+    sizes = np.clip(1 << np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64), LEAST_CELLS, MOST_CELLS)
+    sizes = np.where(counts > 0, sizes, 0)
+    cell = (mix(flat, 3) & np.repeat(sizes - 1, counts).astype(np.uint64)).astype(np.int64)
+    cell += np.repeat(offsets_of(sizes)[:-1], counts)
+    return np.minimum(np.bincount(cell, minlength=int(sizes.sum())), FULL).astype(np.uint8), sizes
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Lower bound of the number of shingles that only one of two sets has, from their sketches."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):  # the cells of the larger one fold into those of the smaller one
+        x = np.minimum(x.reshape(-1, len(y)).sum(axis=0), FULL)
+    return int(np.abs(x - y).sum())
+
+
 def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n, d1, d2, u, v): set size, digest of the set, the two collections of half keys."""
+    """(doc_id, n, d1, d2, u, v, sketch): set size, digest of the set, the two collections of half keys, counts."""
     state: list[WordHashes] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -91,6 +128,7 @@ def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
                 for i in range(2):  # sums over the set, whatever its order
                     digests[i, some] = np.add.reduceat(mix(flat, i + 1), start)
                 keys[some] = half_keys(flat, counts)
+            counted, cells_of = sketches(flat, counts)
         keys = keys.view(np.int64)
         each = np.where(some, SIDE, 0)
         yield pa.RecordBatch.from_arrays(
@@ -100,12 +138,30 @@ def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
                 *(pa.array(d.view(np.int64)) for d in digests),
                 lists(np.ascontiguousarray(keys[some, :SIDE]).ravel(), each, pa.int64()),
                 lists(np.ascontiguousarray(keys[some, SIDE:]).ravel(), each, pa.int64()),
+                binaries(counted, cells_of),
             ],
-            ["doc_id", "n", "d1", "d2", "u", "v"],
+            ["doc_id", "n", "d1", "d2", "u", "v", "sketch"],
         )
 
     rows = docs.select(docs[key].cast("long"), docs[text].cast("string"))
-    return map_batches(rows, run, "doc_id long, n long, d1 long, d2 long, u array<long>, v array<long>")
+    return map_batches(rows, run, "doc_id long, n long, d1 long, d2 long, u array<long>, v array<long>, sketch binary")
+
+
+def possible(pairs: DataFrame, sketched: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) that may be similar enough; ``sketched`` has (rep, n, sketch).
+
+    Sets of m and n shingles that are linked differ in at most (100 - share) (m + n) / (100 + share).
+    """
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        left, right = (batch.column(i).to_pylist() for i in (3, 4))
+        bound = (100 - share) * np.asarray(batch.column(2))
+        least = (100 + share) * np.fromiter(map(apart, left, right), np.int64, len(left))
+        yield batch.select([0, 1]).filter(pa.array(least <= bound))
+
+    both = pairs.join(sketched.toDF("b", "right_n", "right"), "b").join(sketched.toDF("a", "left_n", "left"), "a")
+    both = both.select("a", "b", (F.col("left_n") + F.col("right_n")).alias("both"), "left", "right")
+    return map_batches(both, run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
@@ -149,7 +205,7 @@ def groups(
     classes = stage.store(classes.where("rep < last").drop("last"), "classes")
     member = known.join(classes, ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
 
-    heads = member.where("doc_id = rep").select("rep", "n", "u", "v")
+    heads = member.where("doc_id = rep").select("rep", "n", "u", "v", "sketch")
     entries = heads.select("rep", "n", "v", F.posexplode("u").alias("i", "x"))
     entries = entries.select("rep", "n", "i", "x", F.posexplode("v").alias("j", "y"))
     entries = entries.select("rep", "n", F.xxhash64("i", "j", "x", "y").alias("bucket"))
@@ -160,6 +216,9 @@ def groups(
     met = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     texts = stage.store(texts.where(F.col("text").isNotNull()).join(met, "doc_id"), "texts")
+    # a representative with several texts has several sketches, of which one that fits is enough
+    sketched = heads.join(met.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "sketch")
+    sketched = stage.store(sketched, "sketched")
     stage.drop("shared")
     stage.release()
 
@@ -180,15 +239,16 @@ def groups(
         pivot = stage.store(pivot.select("bucket", "p.*").toDF("bucket", "pivot", "size", "home"), f"pivot{turn}")
         alike = (100 * F.least("n", "size") >= share * F.greatest("n", "size")) & (F.col("root") != F.col("home"))
         pairs = open_ones.join(pivot, "bucket").where(alike & (F.col("rep") != F.col("pivot")))
-        pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        pairs = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
         if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti").join(
-                compared.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"
-            )
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stage.store(pairs, f"pairs{turn}")
         compared = pairs if compared is None else compared.union(pairs)
-        links = stage.store(links.union(confirm(pairs, texts, width, share)), f"links{turn}")
-        found = roots(links, stage, f"roots{turn}")
+        near = stage.store(possible(pairs, sketched, share).distinct(), f"near{turn}")
+        fresh = stage.store(confirm(near, texts, width, share), f"fresh{turn}")
+        if not fresh.isEmpty():
+            links = stage.store(links.union(fresh), f"links{turn}")
+            found = roots(links, stage, f"roots{turn}")
         done = pivot.select("bucket", F.col("pivot").alias("rep"))
         buckets = open_ones.select("rep", "n", "bucket").join(done, ["bucket", "rep"], "left_anti")
         turn, pivots = turn + 1, pivots * FACTOR

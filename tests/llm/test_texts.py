@@ -126,6 +126,23 @@ def test_groups_of_chains_and_crowds(spark):
     assert {r.doc_id: r.component_id for r in found} == brute_groups(rows, 2, 80)
 
 
+def test_sketches_never_overstate_the_difference():
+    draw = np.random.default_rng(4)
+    sets = [draw.integers(0, 6000, n).astype(np.uint64) for n in (1, 2, 30, 33, 400, 500, 600, 5000, 9000)]
+    sets = [np.unique(x) for x in sets] + [np.arange(20_000, dtype=np.uint64)]
+    counts = np.array([0, *map(len, sets)])
+    flat, sizes = neardup.sketches(np.concatenate(sets), counts)
+    made = [x.tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+    assert made[0] == b"" and max(sizes) == neardup.MOST_CELLS
+    for x, a in zip(sets, made[1:], strict=True):
+        for y, b in zip(sets, made[1:], strict=True):
+            assert neardup.apart(a, b) <= len(np.setxor1d(x, y))
+            if len(a) == len(b):
+                assert neardup.apart(a, b) >= abs(len(x) - len(y))
+    hot = np.full((1, 32), 200, np.uint8).tobytes()  # cells that fold stop counting as well
+    assert neardup.apart(hot * 2, np.full(32, neardup.FULL, np.uint8).tobytes()) == 0
+
+
 def brute_passages(rows, width):
     first, out = {}, []
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
