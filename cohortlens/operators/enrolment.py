@@ -9,6 +9,9 @@ from cohortlens.functions.keys import site_uid
 from cohortlens.operators.skew import heavy_keys, spread_join
 from cohortlens.plans import catalogue as cat
 
+#: Copies of a (site, user) pair that are written out from one array.
+COPIES = 4096
+
 
 def active_students(role_grants: DataFrame, roles: DataFrame, role: str = cat.STUDENT_ROLE) -> DataFrame:
     """Users with an active grant of the student role, each once.
@@ -48,10 +51,12 @@ def enrol_students(
     crowded = heavy_keys(site_user.select("site_id"), ["site_id"])
     in_roster = spread_join(pairs, roster_sites(roster), ["site_id"], "inner", ["user_id"], crowded)
     enrolled = in_roster.join(active_students(role_grants, roles), "user_id", "left_semi")
-    return enrolled.select(
-        "site_uid", "fecha_inicio", "site_id", "tipo_sitio", "user_id",
-        F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"),
-    ).drop("_copy")
+    columns = ["site_uid", "fecha_inicio", "site_id", "tipo_sitio", "user_id"]
+    # copies are written out in blocks, so that no row holds an array as long as their number
+    blocks = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES))
+    enrolled = enrolled.select(*columns, "_copies", F.explode(blocks).alias("_block"))
+    rest = F.least(F.lit(COPIES), F.col("_copies") - F.col("_block") * COPIES)
+    return enrolled.select(*columns, F.explode(F.sequence(F.lit(1), rest)).alias("_copy")).drop("_copy")
 
 
 def enrolment_pairs(enrolment: DataFrame) -> DataFrame:

@@ -46,10 +46,13 @@ def running_totals(
     by = list(by)
     group = by or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
-    edges = rows.groupBy(*group).agg(*_edges(order, slots))
-    placed = rows.join(F.broadcast(edges), group).select(
-        *rows.columns, _slot(F.col(order)).alias("_slot")
-    )
+    if by:
+        edges = rows.groupBy(*group).agg(*_edges(order, slots))
+        edged = rows.join(F.broadcast(edges), group)
+    else:
+        edges = rows.agg(*_edges(order, slots))
+        edged = rows.withColumns({c: edges.select(c).scalar() for c in ("_edges", "_tops")})
+    placed = edged.select(*rows.columns, _slot(F.col(order)).alias("_slot"))
     per_slot = placed.groupBy(*group, "_slot").agg(
         *[F.sum(t).alias(f"_sum_{t}") for t in totals], F.max(order).alias("_top")
     )

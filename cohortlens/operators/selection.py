@@ -11,11 +11,15 @@ from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.prefix import quantiles_by
 
+#: Groups of tasks whose pair sums are added first.
+PARTS = 256
+
 # relative size below which a variance is rounding only, that is, the variable is constant
 _FLAT = 1e-12
 DECILES = tuple(i / 10 for i in range(1, 11))
@@ -157,14 +161,22 @@ def informative(iv: DataFrame, limit: float = 0.02) -> DataFrame:
 # --- correlation ----------------------------------------------------------------------------
 
 
+_MOMENTS = ("n", "x", "y", "xx", "yy", "xy")
+
+
 def _partial_moments(variables: Sequence[str], shift: Mapping[str, float]):
-    """Per partition: pairwise counts, sums and products over rows where both are present."""
+    """Per partition: pairwise counts, sums and products over rows where both are present.
+
+    One row per variable ``i``: the moments with all later variables, one array each. A partition
+    without rows gives none.
+    """
     size = len(variables)
     offset = np.array([shift[v] for v in variables])
 
     def run(frames: Iterable[pd.DataFrame]):
-        total = np.zeros((5, size, size))
+        total, some = np.zeros((5, size, size)), False
         for frame in frames:
+            some = some or len(frame) > 0
             values = frame.to_numpy(dtype="float64", na_value=np.nan) - offset
             there = ~np.isnan(values)
             mask, values = there.astype("float64"), np.where(there, values, 0.0)
@@ -174,29 +186,45 @@ def _partial_moments(variables: Sequence[str], shift: Mapping[str, float]):
             total[2] += mask.T @ values
             total[3] += squares.T @ mask
             total[4] += values.T @ values
-        rows, cols = np.triu_indices(size, 1)
+        if not some:
+            return
         # total[3] transposed gives the squares of the second variable
+        tables = (total[0], total[1], total[2], total[3], total[3].T, total[4])
+        part = TaskContext.get().partitionId() % PARTS
         yield pd.DataFrame({
-            "i": rows.astype("int32"), "j": cols.astype("int32"), "n": total[0][rows, cols],
-            "x": total[1][rows, cols], "y": total[2][rows, cols],
-            "xx": total[3][rows, cols], "yy": total[3][cols, rows], "xy": total[4][rows, cols],
+            "i": np.arange(size - 1, dtype="int32"), "part": np.full(size - 1, part, "int32"),
+            **{m: [t[i, i + 1:] for i in range(size - 1)] for m, t in zip(_MOMENTS, tables)},
         })
 
     return run
 
 
+def _added(frames: Iterable[pd.DataFrame]) -> pd.DataFrame:
+    """Sum of packed moments, one frame after the other."""
+    total, i, part = None, 0, 0
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            values = np.stack([np.asarray(getattr(row, m)) for m in _MOMENTS])
+            total, i, part = values if total is None else total + values, row.i, row.part
+    return pd.DataFrame({"i": [i], "part": [part], **{m: [v] for m, v in zip(_MOMENTS, total)}})
+
+
 def correlation_pairs(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are present.
 
-    Each task turns its rows into pair sums with matrix products; what moves is pairs per task,
-    not rows. Values are shifted by the column mean first, which keeps the sums well scaled.
+    Each task turns its rows into pair sums with matrix products; what moves is one packed row per
+    task and variable. They are added in two levels, first in ``PARTS`` groups of tasks, so no
+    group holds a row of every task. Values are shifted by the column mean first, which keeps the
+    sums well scaled.
     """
     doubles = df.select(*[F.col(v).cast("double").alias(v) for v in variables])
     means = doubles.agg(*[F.coalesce(F.avg(v), F.lit(0.0)).alias(v) for v in variables]).first().asDict()
-    sums = doubles.mapInPandas(
-        _partial_moments(list(variables), means),
-        "i int, j int, n double, x double, y double, xx double, yy double, xy double",
-    ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    shape = "i int, part int, " + ", ".join(f"{m} array<double>" for m in _MOMENTS)
+    partial = doubles.mapInPandas(_partial_moments(list(variables), means), shape)
+    for level in (["i", "part"], ["i"]):
+        partial = partial.groupBy(*level).applyInPandas(lambda rows: _added([rows]), shape)
+    sums = partial.select("i", F.posexplode(F.arrays_zip(*_MOMENTS)).alias("k", "m"))
+    sums = sums.select("i", (F.col("i") + F.col("k") + 1).alias("j"), "m.*")
     names = F.array(*[F.lit(v) for v in variables])
     cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
     var_x = F.col("n") * F.col("xx") - F.col("x") * F.col("x")
