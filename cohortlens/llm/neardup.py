@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import (
@@ -181,6 +181,28 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataF
     return map_batches(both.select("a", "b", "left", "right"), run, "a long, b long")
 
 
+def meetings(heads: DataFrame, *carried: str) -> DataFrame:
+    """One row per representative and table: its bucket, and the table's place in either collection."""
+    rows = heads.select("rep", "n", *carried, "v", F.posexplode("u").alias("i", "x"))
+    rows = rows.select("rep", "n", *carried, "i", "x", F.posexplode("v").alias("j", "y"))
+    return rows.select("rep", "n", *carried, "i", "j", F.xxhash64("i", "j", "x", "y").alias("bucket"))
+
+
+def placed(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """Members (bucket, rep, root) with the half keys that stand before the bucket's own in either collection."""
+    short = [F.transform(c, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias(f"{c}_all") for c in ("u", "v")]
+    some = heads.join(members.select("rep").distinct(), "rep").select("rep", "n", "u", "v", *short)
+    before = meetings(some, "u_all", "v_all").select(
+        "rep", "n", "bucket", F.slice("u_all", F.lit(1), F.col("i")).alias("u"), F.slice("v_all", F.lit(1), F.col("j")).alias("v")
+    )
+    return members.select("bucket", "rep", "root").distinct().join(before, ["bucket", "rep"])
+
+
+def differ(a: str, b: str) -> Column:
+    """Whether two lists of half keys agree nowhere."""
+    return ~F.exists(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: same)
+
+
 def groups(
     docs: DataFrame, width: int = 5, share: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -195,7 +217,8 @@ def groups(
     Equal sets become one class before pairs are looked for. In each bucket of a table the members
     are compared with a pivot; what is not yet in one component is compared with more pivots in
     the next round, until every pair that meets is linked or has been compared. So a group of copies
-    costs one comparison per member, and no pair is given up.
+    costs one comparison per member, and no pair is given up. After the first round a pair counts
+    only in the first table where it meets, so a crowd that meets in many tables makes each pair once.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "neardup")
@@ -206,9 +229,7 @@ def groups(
     member = known.join(classes, ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
 
     heads = member.where("doc_id = rep").select("rep", "n", "u", "v", "sketch")
-    entries = heads.select("rep", "n", "v", F.posexplode("u").alias("i", "x"))
-    entries = entries.select("rep", "n", "i", "x", F.posexplode("v").alias("j", "y"))
-    entries = entries.select("rep", "n", F.xxhash64("i", "j", "x", "y").alias("bucket"))
+    entries = meetings(heads).select("rep", "n", "bucket")
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     shared = stage.store(shared.where("low < high").select("bucket"), "shared")
     buckets = stage.store(entries.join(shared, "bucket"), "buckets")
@@ -234,23 +255,29 @@ def groups(
         open_ones = stage.store(named.join(mixed.where("low < high").select("bucket"), "bucket"), f"open{turn}")
         if open_ones.isEmpty():
             break
+        if turn == 1:
+            open_ones = stage.store(placed(open_ones, heads), "placed")
+        before = ["u", "v"] if turn else []
         part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(pivots))
-        pivot = open_ones.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rep", "n", "root")).alias("p"))
-        pivot = stage.store(pivot.select("bucket", "p.*").toDF("bucket", "pivot", "size", "home"), f"pivot{turn}")
+        pivot = open_ones.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rep", "n", "root", *before)).alias("p"))
+        names = ["bucket", "pivot", "size", "home", *(f"pivot_{c}" for c in before)]
+        pivot = stage.store(pivot.select("bucket", "p.*").toDF(*names), f"pivot{turn}")
         alike = (100 * F.least("n", "size") >= share * F.greatest("n", "size")) & (F.col("root") != F.col("home"))
+        for c in before:
+            alike &= differ(c, f"pivot_{c}")
         pairs = open_ones.join(pivot, "bucket").where(alike & (F.col("rep") != F.col("pivot")))
         pairs = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        if compared is not None:
+        if turn:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stage.store(pairs, f"pairs{turn}")
-        compared = pairs if compared is None else compared.union(pairs)
+        compared = compared if turn else pairs  # a later round makes no pair of its own again
         near = stage.store(possible(pairs, sketched, share).distinct(), f"near{turn}")
         fresh = stage.store(confirm(near, texts, width, share), f"fresh{turn}")
         if not fresh.isEmpty():
             links = stage.store(links.union(fresh), f"links{turn}")
             found = roots(links, stage, f"roots{turn}")
         done = pivot.select("bucket", F.col("pivot").alias("rep"))
-        buckets = open_ones.select("rep", "n", "bucket").join(done, ["bucket", "rep"], "left_anti")
+        buckets = open_ones.select("rep", "n", "bucket", *before).join(done, ["bucket", "rep"], "left_anti")
         turn, pivots = turn + 1, pivots * FACTOR
         stage.release()
 
