@@ -3,7 +3,8 @@
 The network reads a window word by word. A word has a word input, how strongly the word itself marks
 toxic texts, and character inputs, how strongly its runs of 4 to 6 bytes do. Network and inputs are
 trained here with numpy on a bounded sample of labelled documents. A document's score is the largest
-score of its windows, which overlap and cover the whole text.
+score of its windows, which overlap and cover the whole text. A long word, such as a passage written
+without spaces, counts as several words: pieces that overlap so that each run lies in one of them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ POSITIVE, NEGATIVE = 1000, 2000  # documents of either class in the sample
 PER_DOCUMENT = 4  # windows of a document in the sample
 SEED = 7
 RUNS = (4, 5, 6)  # bytes
+PIECE = 64  # bytes of a word from which it is cut
+CUT = b"\xff"  # stands where a piece was cut from its word; no byte of a text
 EPOCHS, GROUP, RATE = 4, 96, 0.015
 SURE = 3.0  # standard errors from which a word or run counts
 KEPT = 200_000  # words kept from batch to batch
@@ -33,7 +36,34 @@ EDGE = ".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`^@0123456789…«»“”‘’¡¿"
 
 
 def cells(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
+    """Words of a text; of long ones the pieces."""
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [piece for word in words for piece in pieces(word)]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """The word if it is short, else pieces of at most ``PIECE`` bytes between whole characters.
+
+    Neighbours share at least all bytes of a run but one, so each run of the word is in a piece.
+    """
+    if len(word) <= PIECE or len(word := bare(word)) <= PIECE:
+        return [word]
+    out, at = [], 0
+    while True:
+        end = _character(word, min(at + PIECE, len(word)))
+        out.append((CUT if at else b"") + word[at:end] + (CUT if end < len(word) else b""))
+        if end == len(word):
+            return out
+        at = _character(word, end - (max(RUNS) - 1))
+
+
+def _character(word: bytes, at: int) -> int:
+    """Start of the character that holds the byte, the end of the word for the byte behind it."""
+    while at < len(word) and word[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
 
 
 def starts(n: int) -> range:
@@ -42,12 +72,19 @@ def starts(n: int) -> range:
 
 
 def bare(word: bytes) -> bytes:
+    if word[:1] == CUT or word[-1:] == CUT:
+        return word
     return word.decode("utf-8", "surrogatepass").strip(EDGE).encode("utf-8", "surrogatepass")
 
 
+def marked(word: bytes) -> bytes:
+    """The word with marks at its ends, a piece with marks at those ends where it wasn't cut."""
+    return (b"" if word[:1] == CUT else b"^") + word.strip(CUT) + (b"" if word[-1:] == CUT else b"$")
+
+
 def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Runs of bytes of the marked words as numbers, and the word of each."""
-    flat = np.frombuffer(b"".join(b"\0^" + w[:64] + b"$" for w in words) + b"\0", np.uint8)
+    flat = np.frombuffer(b"".join(b"\0" + marked(w) for w in words) + b"\0", np.uint8)
     owner = np.cumsum(flat == 0) - 1
     keys, whose = [], []
     for size in RUNS:
@@ -202,12 +239,12 @@ def train(windows: Iterable[bytes], documents: list[int], toxic: list[int]) -> M
     mark = strength(n.astype(float), clean.astype(float), rate)
     model.runs, model.marks = found[mark > 0], mark[mark > 0]
     inputs = model.inputs(list(index))
-    marked = inputs[:, 1:3].max(1)
+    marks = inputs[:, 1:3].max(1)
     # one window of each document: of a toxic one that with the most marks, of a clean one any
     best: dict[int, tuple[float, int]] = {}
     order = np.random.default_rng(SEED).random(len(codes))
     for i, (document, code) in enumerate(zip(documents, codes, strict=True)):
-        rank = float(marked[code].sum()) if toxic[i] else order[i]
+        rank = float(marks[code].sum()) if toxic[i] else order[i]
         best[document] = max(best.get(document, (-1.0, 0)), (rank, -i))
     use = [-i for rank, i in best.values() if rank > 0]
     if not labels[use].any():
@@ -332,7 +369,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
                 out["id"].append(key)
                 out["start"].append(at[i])
                 out["toxic"].append(toxic)
-                out["words"].append(b" ".join(w[:64] for w in words[at[i]: at[i] + WINDOW]))
+                out["words"].append(b" ".join(words[at[i]: at[i] + WINDOW]))
         yield pa.RecordBatch.from_pydict(out, pa.schema([("id", pa.int64()), ("start", pa.int64()), ("toxic", pa.int32()), ("words", pa.binary())]))
 
     found = map_batches(texts.select("id", "toxic", "text"), run, "id long, start long, toxic int, words binary").toArrow()

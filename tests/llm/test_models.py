@@ -86,6 +86,29 @@ def test_toxicity_of_planted_words(spark):
     assert np.mean([(r.score >= 0.5) == (r.doc_id % 4 == 0) for r in found]) > 0.95
 
 
+def test_pieces_hold_every_run_of_a_word():
+    rnd = np.random.default_rng(3)
+    for word in ("z" * 64, "\u4f60\u597d" * 90, "".join(rnd.choice(list("abc-_\u00e9\u4f60\U0001f600\ud800"), 500)), "!" * 200):
+        whole = toxicity.bare(word.encode("utf-8", "surrogatepass"))
+        parts = toxicity.cells(word)
+        assert all(len(p.strip(toxicity.CUT)) <= toxicity.PIECE for p in parts)
+        text = b"^" + whole + b"$"
+        want = {int.from_bytes(text[i: i + n]) for n in toxicity.RUNS for i in range(len(text) - n + 1)}
+        assert set(toxicity.runs([toxicity.bare(p) for p in parts])[0].tolist()) == want
+
+
+def test_toxicity_behind_the_start_of_a_long_word(spark):
+    rnd = np.random.default_rng(5)
+    words = [f"{a}{b}" for a in ("ba", "ko", "mi", "ta") for b in ("ren", "lus", "dor", "pim", "vat")]
+    texts = ["\u00a0".join(rnd.choice(words, 60)) for _ in range(400)]
+    texts = [t + "\u00a0zorglevilest\u00a0" + "\u00a0".join(words) if i % 4 == 0 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    found = toxicity.score(docs, model).withColumn("held", toxicity.held_out(F.col("doc_id"))).where("held").collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 4 == 0) for r in found]) > 0.95
+
+
 def test_toxicity_of_odd_rows(spark, docs, nothing, rows):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
