@@ -24,6 +24,10 @@ SEED = 20240607
 GRAMS = SYMBOLS**3
 OPEN = 32  # languages a task counts at a time
 UNKNOWN = "und"
+LOW, PART = 0.01, 0.5  # a text is unlike all languages below this part of this quantile of the learned rows' cosines
+BEGINNINGS = (8, 32, 128, 512)  # characters of learned rows that stand for short texts
+ENOUGH = 20  # learned rows of a length from which it has a limit of its own
+STEPS = 1000  # of a cosine, in which quantiles are counted
 
 
 @lru_cache(maxsize=1)
@@ -106,7 +110,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
 def predict(
     docs: DataFrame, profiles: dict[str, np.ndarray], key: str = "doc_id", text: str = "text", carry: bool = False
 ) -> DataFrame:
-    """(key, lang_pred, score) of every row from its whole text; with ``carry`` also ``row``, the row itself.
+    """(key, lang_pred, score, n_grams) of every row from its whole text; with ``carry`` also ``row``, the row itself.
 
     ``score`` is the cosine with the nearest profile, held to 0..1; of equal cosines the language
     that comes first in the alphabet counts. Null texts and texts without a letter are ``und`` with
@@ -120,12 +124,12 @@ def predict(
         n = batch.num_rows
         found, score = np.full(n, -1), np.zeros(n)
         gram, owner = grams(texts_of(batch.column(1)))
+        edges = np.searchsorted(owner, np.arange(n + 1))
         if len(names) and len(gram):
             used = np.flatnonzero(np.bincount(gram, minlength=GRAMS))
             small = np.zeros(GRAMS, np.int32)
             small[used] = np.arange(len(used))
             bound, small = vectors_of(used).astype(np.float32), small[gram]
-            edges = np.searchsorted(owner, np.arange(n + 1))
             for i in range(n):
                 count = np.bincount(small[edges[i]: edges[i + 1]], minlength=len(used))
                 hit = np.flatnonzero(count)
@@ -138,11 +142,49 @@ def predict(
                     score[i] = near[found[i]] / max(np.linalg.norm(whole), 1e-12)
         label = [names[i] if i >= 0 else UNKNOWN for i in found]
         found_score = pa.array(np.clip(score, 0, 1).astype(np.float64))
-        columns = [batch.column(0), pa.array(label, pa.string()), found_score, *batch.columns[2:]]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "lang_pred", "score", "row"][: len(columns)])
+        n_grams = pa.array(np.diff(edges), pa.int64())
+        columns = [batch.column(0), pa.array(label, pa.string()), found_score, n_grams, *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "lang_pred", "score", "n_grams", "row"][: len(columns)])
 
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string"), *carried(docs, carry))
-    return map_batches(rows, run, schema_of(rows, "lang_pred string, score double")).withColumnRenamed("key", key)
+    return map_batches(rows, run, schema_of(rows, "lang_pred string, score double, n_grams long")).withColumnRenamed("key", key)
+
+
+def limits(learned: DataFrame, profiles: dict[str, np.ndarray], text: str = "text") -> list[float]:
+    """Least cosine of a text that resembles a language, for texts of 1, 2-3, 4-7, ... trigrams.
+
+    It is ``PART`` of the ``LOW`` quantile of the cosines of all learned rows and their beginnings,
+    by length, since short texts have lower ones, and at least the limit of the next shorter length as
+    far as that lies below the quantile; so it lies below nearly all of them. A length with
+    fewer than ``ENOUGH`` of them has the limit of the next shorter one, or none: a word or two tell
+    no language. The driver gets a histogram of ``STEPS`` bins for each of at most 64 lengths.
+    """
+    whole = F.col(text).cast("string")
+    some = [F.when(F.char_length(whole) > n, F.substring(whole, 1, n)) for n in BEGINNINGS]
+    rows = learned.select(F.explode(F.array(whole, *some)).alias("text")).where(F.col("text").isNotNull())
+    rows = predict(rows.select(F.lit(0).alias("key"), "text"), profiles, "key").where(F.col("n_grams") > 0)
+    rows = rows.select(_bits().alias("bits"), F.floor(F.col("score") * STEPS).alias("step"))
+    counts: dict[int, np.ndarray] = {}
+    for bits, step, n in rows.groupBy("bits", "step").count().collect():
+        counts.setdefault(bits, np.zeros(STEPS + 1, np.int64))[step] = n
+    out, last = [], 0.0
+    for bits in range(1, 65):
+        n = counts.get(bits, np.zeros(1, np.int64))
+        if n.sum() >= ENOUGH:
+            low = int(np.searchsorted(np.cumsum(n), LOW * n.sum(), side="right")) / STEPS
+            last = max(PART * low, min(last, low))
+        out.append(last)
+    return out
+
+
+def _bits() -> Column:
+    return F.length(F.bin("n_grams"))
+
+
+def resembles(least: list[float]) -> Column:
+    """Whether a predicted row has a letter and a cosine from the limit of its length on."""
+    limit = F.element_at(F.array(*map(F.lit, least)), _bits())
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= limit)
 
 
 def held_out(doc_id: Column) -> Column:

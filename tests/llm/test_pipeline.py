@@ -32,6 +32,21 @@ def test_stages_keep_columns_and_order(spark):
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "language", "near_duplicates", "passages", "packing"]
 
 
+def test_language_stage_drops_what_no_language_resembles(spark):
+    rnd = random.Random(6)
+    odd = [
+        "wszystko co dobre szybko się kończy a potem nadchodzi kolejny dzień pełen pracy i obowiązków domowych oraz zawodowych",
+        "suomalaiset ovat tunnettuja saunasta ja järvistä sekä pitkistä talvista jolloin aurinko ei nouse lainkaan pohjoisessa",
+        "Привет мир это совсем другой язык который никто тут не учил",
+        *("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (200, 1000, 5000)),
+    ]
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang").where("doc_id is not null")
+    planted = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], docs.schema)
+    kept = {r.doc_id for r in pipeline.drop_unknown_language(spark, docs.union(planted), DATA).select("doc_id").collect()}
+    assert not {i for i in kept if i < 0}
+    assert len(kept) >= 0.995 * docs.select("doc_id").distinct().count()
+
+
 def test_near_duplicate_stage_keeps_one_of_a_group(spark):
     rnd = random.Random(2)
     base = [f"w{rnd.randrange(900)}" for _ in range(120)]
