@@ -8,100 +8,22 @@ fixed width cut into sequences. A document that crosses a border has one record
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from functools import lru_cache
-from unicodedata import normalize
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from cohortlens.llm.common import SENT, Numbered, Stage, binaries, cut, offsets_of, ragged, read, texts_of
+from cohortlens.llm.common import SENT, Stage, binaries, cut, offsets_of, read
+from cohortlens.llm.words import LowerWords
 
-KEPT = 300_000  # different words kept from batch to batch
-KEPT_CHARS = 30_000_000
-JOINED = 500  # words that go to the tokenizer as one text
-#: Fixed value: how the tokenizer cuts a word into pieces.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+BATCH = 8_000_000  # bytes of text turned into ids at a time, one row at least
 SMALL = 1_000_000  # rows, of 16 bytes, up to which the totals of the tasks are broadcast
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    """One per Python worker; the words that an encoder keeps go with its task."""
-    return Tokenizer.from_file(path)
-
-
-class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space: different words are encoded once.
-
-    Many words go to the tokenizer as one text. The ids that end a piece of a word tell the words
-    apart, since the number of pieces of each is known; where the sums differ, words go one by one.
-    """
-
-    def __init__(self, path: str):
-        # the tasks of an executor are parallel already
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = tokenizer(path)
-        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        self.ends = np.array([t.endswith("</w>") for t in tokens])
-        self._clear()
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words one after the other, and their number for each."""
-        pieces = np.array([1 if w.isalpha() else len(PIECES(normalize("NFC", w).lower())) for w in words], np.int64)
-        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        groups = [slice(i, i + JOINED) for i in range(0, len(words), JOINED)]
-        joined = self.tokenizer.encode_batch_fast([" ".join(words[g]) for g in groups], add_special_tokens=False)
-        for g, whole in zip(groups, joined, strict=True):
-            found, n = np.array(whole.ids, np.uint32), pieces[g]
-            last = np.flatnonzero(self.ends[found])
-            if len(last) == n.sum() and (not len(found) or len(last) and last[-1] == len(found) - 1):
-                upto = np.concatenate([[0], last + 1])[np.concatenate([[0], np.cumsum(n)])]
-                ids.append(found)
-                counts.append(np.diff(upto))
-            else:
-                each = [x.ids for x in self.tokenizer.encode_batch_fast(words[g], add_special_tokens=False)]
-                ids.append(np.array([x for e in each for x in e], np.uint32))
-                counts.append(np.array([len(e) for e in each], np.int64))
-        return np.concatenate(ids), np.concatenate(counts)
-
-    def _clear(self) -> None:
-        self.index, self.chars = Numbered(), 0
-        self.ids, self.counts, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, each text closed by ``end``, and their number for each text."""
-        if len(self.index) > KEPT or self.chars > KEPT_CHARS:
-            self._clear()
-        self.index[None]  # stands for the end
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        for words in parts:
-            words.append(None)
-        codes = self.index.codes(parts)
-        fresh = list(self.index)[len(self.counts):]
-        if fresh:
-            self.chars += sum(len(w or "") for w in fresh)
-            if fresh[0] is None:
-                ids, counts = self._words(fresh[1:])
-                ids, counts = np.concatenate([[end], ids]), np.concatenate([[1], counts])
-            else:
-                ids, counts = self._words(fresh)
-            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-            self.counts = np.concatenate([self.counts, counts])
-            self.starts = offsets_of(self.counts)[:-1]
-        lengths = self.counts[codes]
-        sums = np.concatenate([[0], np.cumsum(lengths)])
-        edges = offsets_of(np.array([len(p) for p in parts]))
-        return self.ids[ragged(self.starts[codes], lengths)], sums[edges[1:]] - sums[edges[:-1]]
-
-
 def pack(docs: DataFrame, path: str, width: int = 2048, end: int = 1) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
@@ -115,10 +37,10 @@ def pack(docs: DataFrame, path: str, width: int = 2048, end: int = 1) -> DataFra
     stage = Stage(spark, "packing")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, encoder = TaskContext.get().partitionId(), 0, WordEncoder(path)
+        part, before, encoder = TaskContext.get().partitionId(), 0, LowerWords(path)
         for big in batches:
-            for batch in cut(big):
-                ids, counts = encoder.encode(texts_of(batch.column(1)), end)
+            for batch in cut(big, BATCH):
+                ids, counts = encoder.encode(batch.column(1).fill_null(""), end)
                 ahead = before + offsets_of(counts)[:-1]
                 before += int(counts.sum())
                 yield pa.RecordBatch.from_arrays(

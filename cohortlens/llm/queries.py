@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import bpe, graph, html, language, neardup, packing, passages, topk, toxicity, urls
+from cohortlens.llm import bestfit, bpe, graph, html, language, neardup, packing, passages, topk, toxicity, urls
 
 QUERIES = {
     "op1_topk": topk.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_passages": passages.query,
     "op10_urls": urls.query,
+    "op12_bestfit": bestfit.query,
 }
 ORACLES = {
     "op1_topk": topk.SQL,

@@ -6,17 +6,18 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from cohortlens.llm import bpe, neardup, packing, passages
+from cohortlens.llm import bpe, neardup, packing, passages, words
 from llm_cases import docs, nothing, rows  # noqa: F401
 
-RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
+RANKS, WORDS, BYTES = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 ODD = [
     "a", "b", " ", "  ", "\n", "\t", " \n", "é", "😀", "'s", "'S", "12", "!!", "\x1c", "\x85", "\xa0", "　", "中", "ab" * 200,
-    "the" * 100, "z" * 700, "\0", " the", "á", "İ", "ΑΣ", "<|endoftext|>", "\1",
+    "the" * 100, "z" * 700, "\0", " the", "\n\n", "\u2003", "\u0130", "caf\u00e9 ", "\u00aa", " <|endoftext|>", "á", "İ", "ΑΣ", "<|endoftext|>", "\1",
 ]
 
 
@@ -48,11 +49,13 @@ def test_bpe_round_trip_of_a_table(spark, docs, nothing, rows, library):
     assert bpe.encode(nothing, RANKS, P.PATTERN).count() == 0
 
 
-def test_word_ids_equal_the_library():
-    texts = made(600, 3)
-    library = Tokenizer.from_file(WORDS)
-    found = packing.WordEncoder(WORDS).encode(texts, 1)
-    assert split(*found) == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+@pytest.mark.parametrize("kind, path", [(words.LowerWords, WORDS), (words.SpacedWords, BYTES)])
+def test_word_ids_equal_the_library(kind, path):
+    library = Tokenizer.from_file(path)
+    encoder = kind(path)
+    for texts in (["İl Aİ", "some <|endoftext|> mark"], made(3000, 3), made(600, 4), ["", " ", "   ", "a   b", "a\n  b "]):
+        found = encoder.encode(pa.array(texts), 1)
+        assert split(*found) == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
 @pytest.mark.parametrize("width", [2048, 7])
