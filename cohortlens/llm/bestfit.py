@@ -257,12 +257,15 @@ def pack(docs: DataFrame, path: str, width: int = 2048, end: int = 0) -> DataFra
     bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
     if totals.count() <= SMALL:
         bases = F.broadcast(bases)
-    rests = coded.where(F.col("size") > 0).join(bins, "row").select(
+    ids = F.substring("data", F.lit(1), (4 * F.col("size")).cast("int")).alias("ids")
+    items = coded.where(F.col("size") > 0).select("row", "doc_id", "size", ids)
+    # the places grow with the items, so they are never broadcast
+    rests = items.join(bins.hint("merge"), "row").select(
         "doc_id",
         F.lit(0).cast("int").alias("piece"),
         F.lit(0).cast("long").alias("start"),
         F.col("size").alias("length"),
-        F.substring("data", F.lit(1), (4 * F.col("size")).cast("int")).alias("ids"),
+        "ids",
         "sequence_id",
         "offset",
     )

@@ -7,14 +7,17 @@ whose ids do not depend on their neighbours.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 from cohortlens.llm.common import Numbered, offsets_of, ragged
@@ -30,6 +33,21 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def ranked(path: str) -> tiktoken.Encoding | None:
+    """The vocabulary of a byte-level tokenizer as ranks; None if its merges are not in the order of its ids."""
+    model = json.loads(tokenizer(path).to_str())["model"]
+    special = set(tokenizer(path).get_added_tokens_decoder())
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if i not in special}
+    made = [model["vocab"]["".join(pair)] for pair in model["merges"]]
+    if made != sorted(made) or len(made) + 256 != len(ranks):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def parted(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The parts of all texts between spaces, numbered, and how many each text has (one at least)."""
     parts = pc.split_pattern(column, " ")
@@ -56,11 +74,12 @@ class WordIds:
         """Numbers (by ``index``) of the words of all texts one after the other, and how many each text has."""
         raise NotImplementedError
 
-    def joinable(self, word: str) -> bool:
-        """Whether the ids of the word can be told apart in a text of many words."""
+    def joinable(self, words: list[str]) -> list[bool]:
+        """Whether the ids of a word can be told apart in a text of many words."""
         raise NotImplementedError
 
-    def joined(self, words: list[str]) -> str:
+    def together(self, groups: list[list[str]]) -> list[list[int]]:
+        """Ids of the words of each group as one text."""
         raise NotImplementedError
 
     def borders(self, found: np.ndarray, words: list[str]) -> np.ndarray:
@@ -72,11 +91,12 @@ class WordIds:
 
     def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after the other, and their number for each."""
-        together = [i for i, w in enumerate(words) if self.joinable(w)]
-        apart = [i for i, w in enumerate(words) if not self.joinable(w)]
+        fine = self.joinable(words)
+        together = [i for i, f in enumerate(fine) if f]
+        apart = [i for i, f in enumerate(fine) if not f]
         order, ids, counts = [*together, *apart], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         groups = [[words[i] for i in together[k: k + JOINED]] for k in range(0, len(together), JOINED)]
-        for group, whole in zip(groups, self._alone([self.joined(g) for g in groups]), strict=True):
+        for group, whole in zip(groups, self.together(groups), strict=True):
             found = np.array(whole, np.uint32)
             ids.append(found)
             counts.append(np.diff(self.borders(found, group)))
@@ -133,11 +153,11 @@ class LowerWords(WordIds):
         numbers = self.index.codes([parts.dictionary.to_pylist()])
         return numbers[np.asarray(parts.indices)], counts
 
-    def joinable(self, word: str) -> bool:
-        return CERTAIN(word) is not None and "<|" not in word
+    def joinable(self, words: list[str]) -> list[bool]:
+        return [CERTAIN(w) is not None and "<|" not in w for w in words]
 
-    def joined(self, words: list[str]) -> str:
-        return " ".join(words)
+    def together(self, groups: list[list[str]]) -> list[list[int]]:
+        return self._alone([" ".join(g) for g in groups])
 
     def borders(self, found: np.ndarray, words: list[str]) -> np.ndarray:
         pieces = [1 if w.isalpha() else len(PIECES(normalize("NFC", w).lower())) for w in words]
@@ -157,11 +177,13 @@ class SpacedWords(WordIds):
 
     Its pattern never takes white space after another character, so a text may be cut ahead of a
     space, unless more white space stands there: only texts with two spaces in a row are cut by
-    ``CHUNKS``. A joined word begins where an id's token does with a space.
+    ``CHUNKS``. A joined word begins where an id's token does with a space. Joined words are encoded
+    by the ranks of the same vocabulary where its merges are in the order of its ids, which is faster.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.ranked = ranked(path)
         self.begins = np.array([t.startswith("Ġ") for t in self.tokens])
 
     def words_of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -181,11 +203,13 @@ class SpacedWords(WordIds):
             counts = lengths
         return codes, counts
 
-    def joinable(self, word: str) -> bool:
-        return len(word) > 1 and word[0] == " " and " " not in word[1:]
+    def joinable(self, words: list[str]) -> list[bool]:
+        return [len(w) > 1 and w.rfind(" ") == 0 and "<|" not in w for w in words]
 
-    def joined(self, words: list[str]) -> str:
-        return "".join(words)
+    def together(self, groups: list[list[str]]) -> list[list[int]]:
+        if self.ranked:
+            return [self.ranked.encode_ordinary("".join(g)) for g in groups]
+        return self._alone(["".join(g) for g in groups])
 
     def borders(self, found: np.ndarray, words: list[str]) -> np.ndarray:
         starts = np.flatnonzero(self.begins[found])
