@@ -4,92 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 256
+from cohortlens.session import cut_lineage
 
-
-# edges are searched in blocks of this many
-_BLOCK = 16
-
-
-def _edges(order: str, slots: int) -> list[Column]:
-    """Range edges of about equal row count, and the last edge of every full block."""
-    shares = F.array(*[F.lit(i / slots) for i in range(1, slots)])
-    edges = F.array_distinct(F.percentile_approx(order, shares))
-    tops = F.filter(edges, lambda e, i: i % _BLOCK == _BLOCK - 1)
-    return [edges.alias("_edges"), tops.alias("_tops")]
-
-
-def _slot(value: Column) -> Column:
-    """Number of edges below a value: whole blocks first, then inside one block."""
-    below = F.size(F.filter("_tops", lambda e: e < value)) * _BLOCK
-    block = F.slice("_edges", below + 1, F.lit(_BLOCK))
-    return below + F.size(F.filter(block, lambda e: e < value))
+#: Rows of one range, on average. A range is ordered by one task.
+RANGE = 1_000_000
 
 
 def running_totals(
-    df: DataFrame, order: str, totals: Sequence[str], by: Sequence[str] = (), slots: int = SLOTS
+    df: DataFrame, order: str, totals: Sequence[str], by: Sequence[str] = (), size: int = RANGE, stored: bool = False
 ) -> DataFrame:
     """Add running totals of ``totals`` along ``order`` inside each ``by`` group.
 
-    ``df`` holds one row per (``by``, ``order``) value and ``by`` has few values (variable
-    names, classes). Value ranges of about equal row count split every group into at most
-    ``slots`` parts; a part is ordered by one task, and the totals of the earlier parts are
-    added as an offset. Only two tables are broadcast: the range edges (one row per group) and
-    the offsets (at most groups x slots rows).
+    ``df`` holds one row per (``by``, ``order``) value; no group column is NULL. It is written once
+    (``stored`` says that it is a stored table already), so what it is made from is read once however
+    often the result is used, and its row count, which comes from the files, gives the number of
+    ranges: one for every ``size`` rows. Up to ``size`` rows each group is one range. Beyond, a second
+    table holds the rows partitioned by range with the number of the range, and the totals of the
+    earlier ranges are added as an offset. Only these offsets are broadcast: one row per range and
+    group that begins in it, a millionth of the rows.
 
     Adds ``before_<t>`` (total of smaller values), ``all_<t>`` (total of the group) and
     ``previous`` (the next smaller value, NULL for the smallest).
     """
     by = list(by)
-    group = by or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(0))
-    if by:
-        edges = rows.groupBy(*group).agg(*_edges(order, slots))
-        edged = rows.join(F.broadcast(edges), group)
-    else:
-        edges = rows.agg(*_edges(order, slots))
-        edged = rows.withColumns({c: edges.select(c).scalar() for c in ("_edges", "_tops")})
-    placed = edged.select(*rows.columns, _slot(F.col(order)).alias("_slot"))
-    per_slot = placed.groupBy(*group, "_slot").agg(
+    rows = df if stored else cut_lineage(df, "ordered")
+    ranges = max(1, -(-rows.count() // size))
+    if ranges == 1:
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        inside = group.orderBy(order)
+        lower = inside.rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(
+            *df.columns,
+            *[F.coalesce(F.sum(t).over(lower), F.lit(0)).alias(f"before_{t}") for t in totals],
+            *[F.sum(t).over(group).alias(f"all_{t}") for t in totals],
+            F.lag(order).over(inside).alias("previous"),
+        )
+    ranged = rows.repartitionByRange(ranges, *by, order).withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "ranges")
+    per_range = ranged.groupBy(*by, "_range").agg(
         *[F.sum(t).alias(f"_sum_{t}") for t in totals], F.max(order).alias("_top")
     )
-    earlier = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    offsets = per_slot.select(
-        *group,
-        "_slot",
+    # a group's ranges: a few numbers each
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        *by,
+        "_range",
         *[F.coalesce(F.sum(f"_sum_{t}").over(earlier), F.lit(0)).alias(f"_off_{t}") for t in totals],
-        *[F.sum(f"_sum_{t}").over(whole).alias(f"all_{t}") for t in totals],
-        F.lag("_top").over(Window.partitionBy(*group).orderBy("_slot")).alias("_last"),
+        *[F.sum(f"_sum_{t}").over(group).alias(f"all_{t}") for t in totals],
+        F.lag("_top").over(group.orderBy("_range")).alias("_last"),
     )
-    inside = Window.partitionBy(*group, "_slot").orderBy(order)
+    inside = Window.partitionBy(*by, "_range").orderBy(order)
     lower = inside.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.join(F.broadcast(offsets), [*group, "_slot"])
-        .select(
-            *df.columns,
-            *[
-                (F.col(f"_off_{t}") + F.coalesce(F.sum(t).over(lower), F.lit(0))).alias(f"before_{t}")
-                for t in totals
-            ],
-            *[F.col(f"all_{t}") for t in totals],
-            F.coalesce(F.lag(order).over(inside), F.col("_last")).alias("previous"),
-        )
+    return ranged.join(F.broadcast(offsets), [*by, "_range"]).select(
+        *df.columns,
+        *[(F.col(f"_off_{t}") + F.coalesce(F.sum(t).over(lower), F.lit(0))).alias(f"before_{t}") for t in totals],
+        *[F.col(f"all_{t}") for t in totals],
+        F.coalesce(F.lag(order).over(inside), F.col("_last")).alias("previous"),
     )
 
 
 def quantiles_by(
-    counts: DataFrame, probs: Sequence[float], value: str = "value", n: str = "n", by: Sequence[str] = ()
+    counts: DataFrame, probs: Sequence[float], value: str = "value", n: str = "n", by: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation between the two nearest ranks.
 
-    ``counts`` holds one row per (``by``, ``value``) with its multiplicity ``n``. Returns one
-    row per group with the array ``edges``, in the order of ``probs``.
+    ``counts`` holds one row per (``by``, ``value``) with its multiplicity ``n``; ``stored`` as for
+    ``running_totals``. Returns one row per group with the array ``edges``, in the order of ``probs``.
     """
-    ranked = running_totals(counts.where(F.col(value).isNotNull()), value, [n], by)
+    ranked = running_totals(counts.where(F.col(value).isNotNull()), value, [n], by, stored=stored)
     below, size = F.col(f"before_{n}"), F.col(f"all_{n}")
     picks = []
     for i, p in enumerate(probs):

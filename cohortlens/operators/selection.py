@@ -104,7 +104,7 @@ def near_zero_variance(counts: DataFrame, freq_cut: float = 19, unique_cut: floa
 def inner_cuts(counts: DataFrame, bins: int = 10) -> DataFrame:
     """Distinct inner quantile cuts per variable."""
     probs = [i / bins for i in range(1, bins)]
-    return quantiles_by(counts, probs, by=["variable"]).select(
+    return quantiles_by(counts, probs, by=["variable"], stored=True).select(
         "variable", F.array_distinct("edges").alias("cuts")
     )
 
@@ -280,7 +280,7 @@ def first_edge(value: Column, edges: Column) -> Column:
 def ks_bins(counts: DataFrame) -> DataFrame:
     """Class counts per right-closed decile bin of the non-NULL values."""
     known = counts.where(F.col("value").isNotNull())
-    edges = quantiles_by(known, DECILES, by=["variable"])
+    edges = quantiles_by(known, DECILES, by=["variable"], stored=True)
     return (
         known.join(F.broadcast(edges), "variable")
         .groupBy("variable", first_edge(F.col("value"), F.col("edges")).alias("bin"))

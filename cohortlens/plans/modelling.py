@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators import columns as ops
@@ -130,14 +130,18 @@ def run(
 
     tag = ["model", "dataset"]
     scored = score_all(report.models, flagged, later, keys, label)
-    best = ev.optimal_threshold(scored.where("dataset = 'Train'"), label, "p", ["model"]).collect()
+    best = ev.optimal_threshold(scored.where("dataset = 'Train'"), label, "p", ["model"], ev.AUTO).collect()
     report.thresholds = {r["model"]: r["threshold"] for r in best}
-    limit = F.element_at(F.create_map(*[F.lit(x) for pair in report.thresholds.items() for x in pair]), F.col("model"))
+
+    def by_model(values: dict) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("model"))
+
+    limit, towards = by_model(report.thresholds), by_model({r["model"]: r["direction"] for r in best})
     margin = F.col("model") == "kernel_svm"
     score = scorecard.risk_score(F.col("p"))
     ready = scored.select(
         *tag, label, "p",
-        ev.classify(F.col("p"), limit).alias("predicted"),
+        ev.classify(F.col("p"), limit, towards).alias("predicted"),
         F.when(margin, scorecard.clipped(score)).otherwise(score).alias("score"),
     )
     bands = None
@@ -147,7 +151,7 @@ def run(
         cuts = cuts or scorecard.quantile_cuts(mine.where("dataset = 'Train'"), "score")
         part = scorecard.band_table(mine, label, "score", cuts, by=tag)
         bands = part if bands is None else bands.unionByName(part)
-    gini = cut_lineage(ev.gini(ready, label, "p", tag), "gini")
+    gini = cut_lineage(ev.gini(ready, label, "p", tag, ev.AUTO), "gini")
     if log:
         areas = gini.collect()
         for name, threshold in report.thresholds.items():
@@ -156,7 +160,7 @@ def run(
 
     report.tables = {
         "metrics": ev.classification_metrics(ready, label, "predicted", tag),
-        "roc": ev.roc_curve(ready, label, "p", tag),
+        "roc": ev.roc_curve(ready, label, "p", tag, ev.AUTO),
         "gini": gini,
         "bands": bands,
         "histogram": scorecard.histogram(ready, "score", 50, tag),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens.operators import columns as ops
 from cohortlens.operators import evaluation as ev
 from cohortlens.operators import scorecard as sc
 from cohortlens.plans import catalogue as cat
@@ -49,6 +50,50 @@ def eva4(w):
     return ev.optimal_threshold(w.ml_rows(), "label", "p").select("threshold", F.round("youden", 9).alias("youden"))
 
 
+# scores as they are, and turned round, which the automatic direction must undo
+BOTH = "(SELECT 'plain' AS dataset, label, p AS score FROM ml_rows UNION ALL SELECT 'reversed', label, 1 - p FROM ml_rows)"
+RANKED = f"""(SELECT *, median0 <= median1 AS up, coalesce((lag(score) OVER w + score) / 2, '-inf'::DOUBLE) AS threshold,
+    CAST(coalesce(sum(pos) OVER b, 0) AS DOUBLE) AS before_pos, CAST(coalesce(sum(neg) OVER b, 0) AS DOUBLE) AS before_neg,
+    CAST(sum(pos) OVER (PARTITION BY dataset) AS DOUBLE) AS all_pos, CAST(sum(neg) OVER (PARTITION BY dataset) AS DOUBLE) AS all_neg
+    FROM (SELECT dataset, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM {BOTH} GROUP BY ALL)
+    JOIN (SELECT dataset, median(score) FILTER (WHERE label = 0) AS median0, median(score) FILTER (WHERE label = 1) AS median1
+    FROM {BOTH} GROUP BY dataset) USING (dataset)
+    WINDOW w AS (PARTITION BY dataset ORDER BY score),
+    b AS (PARTITION BY dataset ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+TOWARDS = "CASE WHEN up THEN '<' ELSE '>' END AS direction"
+
+
+def _both(w):
+    rows = w.ml_rows()
+    return ops.union_labelled({
+        "plain": rows.select("label", F.col("p").alias("score")), "reversed": rows.select("label", (1 - F.col("p")).alias("score")),
+    })
+
+
+@query("eva1_auto", f"""SELECT dataset, threshold, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity, direction FROM (
+    SELECT dataset, threshold, CASE WHEN up THEN 1 - before_pos / all_pos ELSE before_pos / all_pos END AS sensitivity,
+    CASE WHEN up THEN before_neg / all_neg ELSE 1 - before_neg / all_neg END AS specificity, {TOWARDS} FROM {RANKED}
+    UNION ALL SELECT DISTINCT dataset, 'inf'::DOUBLE, CASE WHEN up THEN 0.0 ELSE 1.0 END, CASE WHEN up THEN 1.0 ELSE 0.0 END, {TOWARDS} FROM {RANKED})""")
+def eva1_auto(w):
+    return ev.roc_curve(_both(w), "label", "score", ["dataset"], ev.AUTO).withColumns(
+        {c: F.round(c, 9) for c in ("sensitivity", "specificity")}
+    )
+
+
+@query("eva3_auto", f"""SELECT dataset, round(a, 9) AS auc, round(2 * a - 1, 9) AS gini, direction FROM (SELECT dataset, {TOWARDS},
+    CASE WHEN up THEN a ELSE 1 - a END AS a FROM (SELECT dataset, up, sum(pos * (before_neg + neg / 2.0::DOUBLE)) / (max(all_pos) * max(all_neg)) AS a
+    FROM {RANKED} GROUP BY dataset, up))""")
+def eva3_auto(w):
+    return ev.gini(_both(w), "label", "score", ["dataset"], ev.AUTO).withColumns({c: F.round(c, 9) for c in ("auc", "gini")})
+
+
+@query("eva4_auto", f"""SELECT dataset, threshold, round(j / (all_pos * all_neg), 9) AS youden, direction FROM (SELECT *, {TOWARDS},
+    row_number() OVER (PARTITION BY dataset ORDER BY j DESC, CASE WHEN up THEN threshold ELSE -threshold END) AS place FROM (SELECT *,
+    (before_neg * all_pos - before_pos * all_neg) * CASE WHEN up THEN 1 ELSE -1 END AS j FROM {RANKED})) WHERE place = 1""")
+def eva4_auto(w):
+    return ev.optimal_threshold(_both(w), "label", "score", ["dataset"], ev.AUTO).withColumn("youden", F.round("youden", 9))
+
+
 @query("eva5", f"SELECT row_id, label, CASE WHEN p > {THRESHOLD} THEN 1 ELSE 0 END AS predicted FROM ml_rows")
 def eva5(w):
     return _hard(w)

@@ -35,6 +35,34 @@ def test_roc_points(spark):
     assert got == [(float("-inf"), 1.0, 0.0), (0.25, 1.0, 0.5), (pytest.approx(0.6), 0.5, 1.0), (float("inf"), 0.0, 1.0)]
 
 
+def test_direction_follows_the_medians(spark):
+    rnd = random.Random(3)
+    pairs = [(y, round(rnd.gauss(0.4 + 0.2 * y, 0.2), 2)) for y in (rnd.random() < 0.4 for _ in range(300))]
+    plain, turned = rows(spark, pairs), rows(spark, [(y, 1 - p) for y, p in pairs])
+    both = plain.withColumn("d", F.lit("plain")).unionByName(turned.withColumn("d", F.lit("turned")))
+    areas = {r["d"]: (r["auc"], r["direction"]) for r in ev.auc(both, "y", "p", ["d"], ev.AUTO).collect()}
+    assert areas["plain"][1] == "<" and areas["turned"][1] == ">"
+    assert areas["plain"][0] == pytest.approx(areas["turned"][0]) == pytest.approx(ev.auc(plain, "y", "p").first()["auc"])
+    assert ev.auc(turned, "y", "p", direction=ev.AUTO).first()["direction"] == ">"
+    best = {r["d"]: r for r in ev.optimal_threshold(both, "y", "p", ["d"], ev.AUTO).collect()}
+    assert best["plain"]["youden"] == pytest.approx(best["turned"]["youden"])
+    hit = [ev.classify(F.col("p"), best[d]["threshold"], best[d]["direction"]).alias("z") for d in ("plain", "turned")]
+    same = [[r["z"] for r in df.coalesce(1).select(z).collect()] for df, z in zip((plain, turned), hit, strict=True)]
+    assert same[0] == same[1]
+    points = ev.roc_curve(turned, "y", "p", direction=ev.AUTO)
+    assert points.where("threshold = 'Infinity' and sensitivity = 1 and specificity = 0").count() == 1
+    for r in points.where("abs(threshold) < 9").limit(5).collect():
+        seen = [(y, 1 - p < r["threshold"]) for y, p in pairs]
+        assert r["sensitivity"] == pytest.approx(sum(z for y, z in seen if y) / sum(y for y, _ in seen))
+
+
+def test_direction_with_one_class_is_up(spark):
+    df = rows(spark, [(1, 0.2), (1, 0.4)])
+    assert ev.auc(df, "y", "p", direction=ev.AUTO).first()["direction"] == "<"
+    with pytest.raises(ValueError):
+        ev.auc(df, "y", "p", direction="up")
+
+
 def test_youden_tie_takes_the_lower_threshold(spark):
     # both 0.25 and 0.6 give index 0.5
     df = rows(spark, [(0, 0.1), (1, 0.4), (0, 0.4), (1, 0.8)])

@@ -44,13 +44,13 @@ def test_spread_join_refuses_full():
         spread_join(None, None, ["k"], "full")
 
 
-@pytest.mark.parametrize("slots", [2, 7, 256])
-def test_running_totals_brute_force(spark, slots):
+@pytest.mark.parametrize("size, stored", [(100, False), (37, True), (600, False), (1_000_000, True)])
+def test_running_totals_brute_force(spark, size, stored):
     rnd = random.Random(1)
     values = {g: {round(rnd.gauss(0, 10), 2): rnd.randrange(1, 9) for _ in range(300)} for g in ("a", "b")}
     rows = [(g, v, n) for g, vs in values.items() for v, n in vs.items()]
     df = spark.createDataFrame(rows, "g string, v double, n long")
-    got = {(r["g"], r["v"]): (r["before_n"], r["all_n"], r["previous"]) for r in running_totals(df, "v", ["n"], ["g"], slots).collect()}
+    got = {(r["g"], r["v"]): (r["before_n"], r["all_n"], r["previous"]) for r in running_totals(df, "v", ["n"], ["g"], size, stored).collect()}
     assert len(got) == len(rows)
     for g, vs in values.items():
         before, previous = 0, None
@@ -59,6 +59,18 @@ def test_running_totals_brute_force(spark, slots):
             before, previous = before + vs[v], v
 
 
+def test_running_totals_read_their_input_once(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 997 AS v", "id % 3 AS g").write.parquet(str(tmp_path / "rows"))
+    counts = spark.read.parquet(str(tmp_path / "rows")).groupBy("v").agg(F.count("*").alias("n"))
+    for size in (100, 1_000_000):
+        found = running_totals(counts, "v", ["n"], size=size)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert str(tmp_path / "rows") not in plan and found.agg(F.max(F.col("before_n") + F.col("n"))).first()[0] == 5000
+        if size == 100:  # no range far above its size
+            ranges = found.groupBy(F.floor((F.col("before_n")) / 5)).count()
+            assert ranges.count() > 5
+
+
 def test_quantiles_match_numpy(spark):
     rnd = random.Random(2)
     for data in ([rnd.gauss(0, 1) for _ in range(1001)], [rnd.randrange(4) * 1.0 for _ in range(500)], [3.0], [1.0, 2.0]):
