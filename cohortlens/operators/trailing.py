@@ -72,6 +72,14 @@ def _block(metric: str, widths: Sequence[int]) -> list[str]:
     return out
 
 
+def _added(age: int) -> Column:
+    """Sum of the vectors of one age, NULL where there is none; a NULL element adds nothing."""
+    return F.expr(
+        f"aggregate(filter(_weeks, x -> x.age = {age}), CAST(NULL AS array<bigint>), (s, x) -> CASE WHEN s IS NULL THEN x.v "
+        "ELSE zip_with(s, x.v, (a, b) -> coalesce(a + b, a, b)) END)"
+    )
+
+
 def trailing_features(
     panel: DataFrame,
     metrics: Sequence[str],
@@ -79,40 +87,48 @@ def trailing_features(
     min_week: int | None = None,
     weeks: str = "observed",
     widths: Sequence[int] = WIDTHS,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row per student with 25 columns per metric.
 
-    ``panel`` has one row per (programme, week, student). One exchange on the key: the weekly
-    values become columns by conditional sums, the statistics are a projection over them. A
-    week without a row counts as 0 except in the median, which reads existing rows only.
+    ``panel`` has one row per (programme, week, student). One exchange on the key moves the rows as
+    they are (a student has few weeks, so sums ahead of it would only be wider), into ``parts``
+    partitions if given. The last weeks of a student become one list of (age, vector of all
+    metrics); vectors of one age are added element by element, and the statistics are a projection over
+    the four sums. A week without a row counts as 0 except in the median, which reads existing rows only.
     """
     rows = with_key(history(panel, period, min_week)).select("key_id", "periodo_week", *metrics)
     recent = recent_weeks(rows, period, weeks)
+    vector = F.array(*[F.col(m).cast("long") for m in metrics])
     aged = rows.select(
-        "key_id", F.array_position(recent, F.col("periodo_week")).cast("int").alias("_age"), *metrics
+        "key_id", F.array_position(recent, F.col("periodo_week")).cast("int").alias("_age"), vector.alias("_values")
+    )
+    aged = aged.repartition(parts, "key_id") if parts else aged.repartition("key_id")
+    # older weeks leave the student's row, but not their values
+    kept = F.when(F.col("_age").between(1, max(widths)), F.struct(F.col("_age").alias("age"), F.col("_values").alias("v")))
+    ages = range(1, max(widths) + 1)
+    sums = aged.groupBy("key_id").agg(F.collect_list(kept).alias("_weeks")).select(
+        "key_id", *[_added(age).alias(f"_age_{age}") for age in ages]
+    )
+    wide = sums.selectExpr(
+        "key_id", *[f"_age_{age}[{i}] AS `_{m}_{age}`" for i, m in enumerate(metrics) for age in ages]
     )
-    sums = [
-        F.expr(f"sum(CASE WHEN _age = {age} THEN `{m}` END) AS `_{m}_{age}`")
-        for m in metrics
-        for age in range(1, max(widths) + 1)
-    ]
-    wide = aged.groupBy("key_id").agg(*sums)
     return wide.selectExpr("key_id", *[text for m in metrics for text in _block(m, widths)])
 
 
-def event_features(weekly: DataFrame, period: int, weeks: str = "observed") -> DataFrame:
+def event_features(weekly: DataFrame, period: int, weeks: str = "observed", parts: int | None = None) -> DataFrame:
     """Features of the 49 event metrics; weeks before the start are left out."""
-    return trailing_features(weekly, cat.EVENT_METRICS, period, min_week=1, weeks=weeks)
+    return trailing_features(weekly, cat.EVENT_METRICS, period, min_week=1, weeks=weeks, parts=parts)
 
 
-def resource_features(weekly: DataFrame, period: int, weeks: str = "observed") -> DataFrame:
+def resource_features(weekly: DataFrame, period: int, weeks: str = "observed", parts: int | None = None) -> DataFrame:
     """Features of the 12 resource metrics; weeks before the start take part."""
-    return trailing_features(weekly, cat.RESOURCE_METRICS, period, weeks=weeks)
+    return trailing_features(weekly, cat.RESOURCE_METRICS, period, weeks=weeks, parts=parts)
 
 
-def login_features(weekly: DataFrame, period: int, weeks: str = "observed") -> DataFrame:
+def login_features(weekly: DataFrame, period: int, weeks: str = "observed", parts: int | None = None) -> DataFrame:
     """Features of the login count."""
-    return trailing_features(weekly, (cat.LOGIN_METRIC,), period, weeks=weeks)
+    return trailing_features(weekly, (cat.LOGIN_METRIC,), period, weeks=weeks, parts=parts)
 
 
 def labelled_keys(outcomes: DataFrame) -> DataFrame:
@@ -125,16 +141,10 @@ def labelled_keys(outcomes: DataFrame) -> DataFrame:
 def assemble(outcomes: DataFrame, events: DataFrame, resources: DataFrame, logins: DataFrame) -> DataFrame:
     """Wide analytic row: every labelled student with whatever features exist.
 
-    A labelled row of three columns grows to some 1,550, so its partitions must not be sized by
-    what goes in: the students are partitioned by key into as many parts as the session has
-    shuffle partitions, a number that is not coalesced. The joins follow on that partitioning,
-    the widest last, because every join copies the row it widens.
+    The tables are joined as they lie where all are stored in the same number of buckets of
+    ``key_id`` (``sources.buckets``): no exchange and no sort, so no join copies a row of some 1,550
+    columns to another machine. Tables stored otherwise are joined by an exchange each.
     """
-    parts = int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        labelled_keys(outcomes)
-        .repartition(parts, "key_id")
-        .join(logins, "key_id", "left")
-        .join(resources, "key_id", "left")
-        .join(events, "key_id", "left")
-    )
+        labelled_keys(outcomes) if "key_id" not in outcomes.columns else outcomes
+    ).join(logins, "key_id", "left").join(resources, "key_id", "left").join(events, "key_id", "left")

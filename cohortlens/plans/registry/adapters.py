@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import enrolment, grades, programmes, trailing, weekly
 from cohortlens.plans import catalogue as cat
 from cohortlens.session import cut_lineage
-from cohortlens.sources import read_table
+from cohortlens.sources import buckets_for, read_table, store_bucketed
 
 PERIOD = 5
 EVENT_NAMES = (*cat.EVENT_IDS, "site.add", "user.login")
@@ -239,6 +239,16 @@ class World:
     def login_features(self) -> DataFrame:
         return trailing.login_features(cut_lineage(self.weekly_logins()), PERIOD)
 
+    def wide_rows(self) -> DataFrame:
+        """Labelled students with all features, from tables in the same buckets of ``key_id``."""
+        panels = [cut_lineage(p) for p in (self.weekly_events(), self.weekly_resources(), self.weekly_logins())]
+        labels = cut_lineage(trailing.labelled_keys(self.outcomes()), "labels")
+        parts = buckets_for(labels.count())
+        builders = (trailing.event_features, trailing.resource_features, trailing.login_features)
+        features = [build(panel, PERIOD, parts=parts) for build, panel in zip(builders, panels, strict=True)]
+        stored = [store_bucketed(f, "key_id", parts, placed=True) for f in features]
+        return trailing.assemble(store_bucketed(labels, "key_id", parts), *stored)
+
     def ml_rows(self) -> DataFrame:
         """Modelling frame: x2 and x5 with gaps, x4 nearly constant, x6 close to twice x1."""
         order, quantity = F.col("l_orderkey"), F.col("l_quantity")

@@ -74,6 +74,5 @@ def f15(w):
     LEFT JOIN resource_feature r ON r.key_id = o.site_uid || '_' || CAST(o.student_id AS VARCHAR)
     LEFT JOIN login_feature l ON l.key_id = o.site_uid || '_' || CAST(o.student_id AS VARCHAR)""")
 def f16(w):
-    # the feature tables of a week are stored between the stages
-    tables = [cut_lineage(t, "features") for t in (w.event_features(), w.resource_features(), w.login_features())]
-    return trailing.assemble(w.outcomes(), *tables)
+    # the feature tables of a week are stored in buckets of the key between the stages
+    return w.wide_rows()

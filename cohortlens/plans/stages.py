@@ -14,7 +14,7 @@ from cohortlens.operators import enrolment as enrol
 from cohortlens.operators import grades, programmes, trailing, weekly
 from cohortlens.plans import schemas
 from cohortlens.session import tune
-from cohortlens.sources import export_csv, read_period, read_table, write_parquet, write_period
+from cohortlens.sources import buckets_for, export_csv, read_period, read_table, store_bucketed, write_parquet, write_period
 
 WEEK = "periodo_week"
 FEATURES = ("event_features", "resource_features", "login_features")
@@ -71,8 +71,11 @@ def indicators(spark: SparkSession, out: str, period: int, weeks: str = "observe
 def wide_rows(spark: SparkSession, out: str, period: int, csv: bool = False) -> DataFrame:
     """Labelled students with the features of one week."""
     tune(spark)
-    parts = [read_period(spark, f"{out}/{name}", period, WEEK) for name in FEATURES]
-    wide = trailing.assemble(read_table(spark, out, "outcomes"), *parts)
+    labels = trailing.labelled_keys(read_table(spark, out, "outcomes"))
+    parts = buckets_for(labels.count())
+    tables = [labels, *[read_period(spark, f"{out}/{name}", period, WEEK) for name in FEATURES]]
+    # the widest table is moved once, into buckets, and not again by each join
+    wide = trailing.assemble(*[store_bucketed(t, "key_id", parts) for t in tables])
     write_period(wide, f"{out}/wide", period, WEEK)
     stored = read_period(spark, f"{out}/wide", period, WEEK)
     if csv:
