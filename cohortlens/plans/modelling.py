@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import columns as ops
 from cohortlens.operators import evaluation as ev
-from cohortlens.operators import explain, models, runlog, scorecard, split
+from cohortlens.operators import explain, models, runlog, scorecard, split, tuning
 from cohortlens.operators import selection as sel
 from cohortlens.plans import catalogue as cat
 from cohortlens.session import cut_lineage, tune
@@ -65,6 +65,7 @@ class Report:
 
     predictors: list[str]
     models: dict = field(default_factory=dict)
+    chosen: dict[str, dict] = field(default_factory=dict)
     thresholds: dict[str, float] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -74,13 +75,17 @@ class Report:
 
 
 def fit_all(
-    train: DataFrame, predictors: Sequence[str], label: str, trees: int, boosting: dict, rounds: int = 100
+    train: DataFrame, predictors: Sequence[str], label: str, trees: int, boosting: dict, rounds: int = 100,
+    chosen: Mapping[str, Mapping] | None = None,
 ) -> dict:
+    """The four models, with the parameters that the tuning chose where there was one."""
+    points = {
+        "boosting": boosting, "forest": {"mtry": "onethird"}, "elastic_net": {"alpha": 0.0, "lambda": 0.001},
+        "kernel_svm": {"C": 1.0, "sigma": 0.25}, **(chosen or {}),
+    }
     return {
-        "boosting": models.fit_boosting(train, predictors, label, boosting),
-        "forest": models.fit_forest(train, predictors, label, trees=trees),
-        "elastic_net": models.fit_elastic_net(train, predictors, label),
-        "kernel_svm": models.fit_kernel_svm(train, predictors, label, rounds=rounds),
+        family: tuning.fit_point(family, point, train, predictors, label, trees=trees, rounds=rounds)
+        for family, point in points.items()
     }
 
 
@@ -109,12 +114,15 @@ def score_all(fitted: dict, flagged: DataFrame, later: DataFrame | None, keys: S
 def run(
     wide: DataFrame, back: DataFrame | None = None, label: str = cat.LABEL, keys: Sequence[str] = ("key_id",),
     limits: Limits | None = None, trees: int = cat.FOREST_TREES, boosting: dict = cat.BOOSTING_FINAL,
-    rounds: int = 100, log: str | None = None,
+    rounds: int = 100, log: str | None = None, tune_in: str | None = None,
+    grids: Mapping[str, Sequence[Mapping]] | None = None,
 ) -> Report:
     """The whole modelling stage on the wide rows of one week; ``back`` is a later week.
 
     All models and data sets are evaluated together, grouped by two columns, so curve, metrics
-    and bands cost one pass each however many of them there are.
+    and bands cost one pass each however many of them there are. With ``tune_in`` the parameters are
+    searched first (``grids``, or the whole grids); the ledger of the search lies in that folder, and a
+    run that was stopped goes on from it.
     """
     spark = wide.sparkSession
     tune(spark)
@@ -126,7 +134,10 @@ def run(
     flagged = cut_lineage(split.stratified_split(frame, label, keys, cat.TRAIN_SHARE, cat.SEED), "model_rows")
     later = None if back is None else cut_lineage(model_frame(back, names, label, keys), "back_rows")
     train = split.four_sets(flagged)["Train"]
-    report = Report(predictors, fit_all(train, predictors, label, trees, boosting, rounds))
+    chosen = None
+    if tune_in:
+        chosen = tuning.tune_all(train, predictors, label, keys, tune_in, grids, trees=trees, rounds=rounds)
+    report = Report(predictors, fit_all(train, predictors, label, trees, boosting, rounds, chosen), chosen=chosen or {})
 
     tag = ["model", "dataset"]
     scored = score_all(report.models, flagged, later, keys, label)
@@ -137,12 +148,10 @@ def run(
         return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("model"))
 
     limit, towards = by_model(report.thresholds), by_model({r["model"]: r["direction"] for r in best})
-    margin = F.col("model") == "kernel_svm"
-    score = scorecard.risk_score(F.col("p"))
     ready = scored.select(
         *tag, label, "p",
         ev.classify(F.col("p"), limit, towards).alias("predicted"),
-        F.when(margin, scorecard.clipped(score)).otherwise(score).alias("score"),
+        scorecard.risk_score(F.col("p")).alias("score"),
     )
     bands = None
     for name in report.models:
