@@ -5,7 +5,9 @@ table of the index is named by one half key of either collection, so 2 x SIDE ha
 SIDE x SIDE tables: the minhash work is about the square root of what independent tables take. Pairs that
 meet in a table are confirmed on their full shingle sets, and confirmed links give components.
 Before texts are fetched, a pair is held against a lower bound of the difference of the two sets, which
-only pairs below the threshold can exceed.
+only pairs below the threshold can exceed. Members of a bucket that a first comparison with one of
+them does not connect are held against each other in blocks, as matrices: only the pairs that pass
+the bound ever become rows.
 
 A pair with similarity s is missed if no half key of one collection agrees, with probability below
 2 (1 - s^ROWS)^SIDE: 7 in 100,000 at 0.8, 4 in ten million at 0.9.
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import (
@@ -35,7 +37,8 @@ from cohortlens.llm.common import (
 from cohortlens.llm.components import roots
 
 SIDE, ROWS = 10, 2
-FACTOR = 4  # by which the pivots of a crowded bucket grow from round to round
+CROWD = 2048  # members of a bucket that are compared in one group, on average
+CHUNK = 4_000_000  # bytes of sketches compared at a time
 SEED = 20240611
 LEAST_CELLS, MOST_CELLS = 32, 4096  # of a counting sketch; powers of two
 FULL = 255  # where a cell of a sketch stops counting
@@ -181,26 +184,83 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataF
     return map_batches(both.select("a", "b", "left", "right"), run, "a long, b long")
 
 
-def meetings(heads: DataFrame, *carried: str) -> DataFrame:
-    """One row per representative and table: its bucket, and the table's place in either collection."""
-    rows = heads.select("rep", "n", *carried, "v", F.posexplode("u").alias("i", "x"))
-    rows = rows.select("rep", "n", *carried, "i", "x", F.posexplode("v").alias("j", "y"))
-    return rows.select("rep", "n", *carried, "i", "j", F.xxhash64("i", "j", "x", "y").alias("bucket"))
+def passing(left: list[bytes], right: list[bytes], x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For pairs (left[x], right[y]) whether the lower bound of their difference is at most ``most``."""
+    out = np.zeros(len(x), bool)
+    size = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
+    for a in np.unique(size[0]):
+        for b in np.unique(size[1]):
+            mine = np.flatnonzero((size[0][x] == a) & (size[1][y] == b))
+            if not len(mine):
+                continue
+            cells_of = min(a, b)  # the cells of the larger one fold into those of the smaller one
+            tables, at = [], []
+            for side, ends, n in ((left, x, a), (right, y, b)):
+                used, place = np.unique(ends[mine], return_inverse=True)
+                table = np.frombuffer(b"".join(side[i] for i in used), np.uint8).reshape(len(used), -1, cells_of)
+                tables.append(np.minimum(table.sum(axis=1, dtype=np.int32), FULL).astype(np.int16))
+                at.append(place)
+            step = max(1, CHUNK // int(cells_of))
+            for k in range(0, len(mine), step):
+                gap = np.abs(tables[0][at[0][k: k + step]] - tables[1][at[1][k: k + step]]).sum(axis=1, dtype=np.int64)
+                out[mine[k: k + step]] = gap <= most[mine[k: k + step]]
+    return out
 
 
-def placed(members: DataFrame, heads: DataFrame) -> DataFrame:
-    """Members (bucket, rep, root) with the half keys that stand before the bucket's own in either collection."""
-    short = [F.transform(c, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias(f"{c}_all") for c in ("u", "v")]
-    some = heads.join(members.select("rep").distinct(), "rep").select("rep", "n", "u", "v", *short)
-    before = meetings(some, "u_all", "v_all").select(
-        "rep", "n", "bucket", F.slice("u_all", F.lit(1), F.col("i")).alias("u"), F.slice("v_all", F.lit(1), F.col("j")).alias("v")
+def _near(key: tuple, table: pa.Table, share: int) -> pa.Table:
+    """Pairs of one bucket, or of two blocks of it, that may be similar enough: different components,
+    sizes and sketches that allow it, and no earlier table in which they meet."""
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    first, second = key[1].as_py(), key[2].as_py()
+    rep, n, root, own, i, j = (
+        np.asarray(table[c].combine_chunks()) for c in ("rep", "n", "root", "own", "i", "j")
+    )
+    sides = [np.flatnonzero(own == first), np.flatnonzero(own == second)]
+    if not len(sides[0]) or not len(sides[1]):
+        return shape.empty_table()
+    (p, q), (m, k) = sides, (n[sides[0]][:, None], n[sides[1]][None, :])
+    fits = (root[p][:, None] != root[q][None, :]) & (100 * np.minimum(m, k) >= share * np.maximum(m, k))
+    if first == second:
+        fits &= np.triu(np.ones(fits.shape, bool), 1)
+    for name, upto in (("u", int(i[0])), ("v", int(j[0]))):
+        keys = np.asarray(table[name].combine_chunks().flatten()).reshape(-1, SIDE)
+        for c in range(upto):
+            fits &= keys[p, c][:, None] != keys[q, c][None, :]
+    x, y = np.nonzero(fits)
+    sketch = table["sketch"].to_pylist()
+    # sets of m and k shingles that are linked differ in at most so many
+    most = (100 - share) * (n[p][x] + n[q][y]) // (100 + share)
+    good = passing([sketch[r] for r in p], [sketch[r] for r in q], x, y, most)
+    one, other = rep[p[x[good]]], rep[q[y[good]]]
+    return pa.table([np.minimum(one, other), np.maximum(one, other)], schema=shape)
+
+
+def crowds(members: DataFrame, share: int) -> DataFrame:
+    """(a, b) of the pairs in each bucket that may be linked.
+
+    ``members`` (bucket, i, j, rep, n, u, v, sketch, root). A bucket of more than ``CROWD`` members is
+    dealt into blocks that meet two by two, so no group grows with its bucket.
+    """
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+    large = members.join(sizes.where("parts > 1"), "bucket")
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("own")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    large = large.select(*members.columns, own, "parts").select("*", every).drop("parts")
+    large = large.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")}).drop("other")
+    zero = F.lit(0)
+    small = members.join(sizes.where("parts = 1").select("bucket"), "bucket").select(
+        *members.columns, *(zero.alias(c) for c in ("own", "first", "second"))
+    )
+    return small.unionByName(large).groupBy("bucket", "first", "second").applyInArrow(
+        lambda key, table: _near(key, table, share), "a long, b long"
     )
-    return members.select("bucket", "rep", "root").distinct().join(before, ["bucket", "rep"])
 
 
-def differ(a: str, b: str) -> Column:
-    """Whether two lists of half keys agree nowhere."""
-    return ~F.exists(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: same)
+def meetings(heads: DataFrame) -> DataFrame:
+    """One row per representative, text and table: its bucket, and the table's place in either collection."""
+    rows = heads.select("rep", "d1", "n", "v", F.posexplode("u").alias("i", "x"))
+    rows = rows.select("rep", "d1", "n", "i", "x", F.posexplode("v").alias("j", "y"))
+    return rows.select("rep", "d1", "n", "i", "j", F.xxhash64("i", "j", "x", "y").alias("bucket"))
 
 
 def groups(
@@ -215,10 +275,10 @@ def groups(
     are ignored; an empty table gives no rows.
 
     Equal sets become one class before pairs are looked for. In each bucket of a table the members
-    are compared with a pivot; what is not yet in one component is compared with more pivots in
-    the next round, until every pair that meets is linked or has been compared. So a group of copies
-    costs one comparison per member, and no pair is given up. After the first round a pair counts
-    only in the first table where it meets, so a crowd that meets in many tables makes each pair once.
+    are compared with one of them, which connects a group of copies at one comparison per member. In
+    the buckets that still hold different components all members are held against each other
+    (``crowds``), a pair in the first table where it meets, so every pair that meets is connected or
+    has been compared, and none is given up.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "neardup")
@@ -228,8 +288,8 @@ def groups(
     classes = stage.store(classes.where("rep < last").drop("last"), "classes")
     member = known.join(classes, ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
 
-    heads = member.where("doc_id = rep").select("rep", "n", "u", "v", "sketch")
-    entries = meetings(heads).select("rep", "n", "bucket")
+    heads = member.where("doc_id = rep").select("rep", "d1", "n", "u", "v", "sketch")
+    entries = meetings(heads)
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     shared = stage.store(shared.where("low < high").select("bucket"), "shared")
     buckets = stage.store(entries.join(shared, "bucket"), "buckets")
@@ -247,39 +307,37 @@ def groups(
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     several = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     links = stage.store(several.where("a <> b").distinct(), "several")
-    found, compared, turn, pivots = None, None, 0, 1
     found = roots(links, stage, "several")
-    while True:
+
+    def unconnected(found: DataFrame, name: str) -> DataFrame:
+        """Members of the buckets that hold more than one component, with their component."""
         named = buckets.join(found.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        open_ones = stage.store(named.join(mixed.where("low < high").select("bucket"), "bucket"), f"open{turn}")
-        if open_ones.isEmpty():
-            break
-        if turn == 1:
-            open_ones = stage.store(placed(open_ones, heads), "placed")
-        before = ["u", "v"] if turn else []
-        part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(pivots))
-        pivot = open_ones.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rep", "n", "root", *before)).alias("p"))
-        names = ["bucket", "pivot", "size", "home", *(f"pivot_{c}" for c in before)]
-        pivot = stage.store(pivot.select("bucket", "p.*").toDF(*names), f"pivot{turn}")
-        alike = (100 * F.least("n", "size") >= share * F.greatest("n", "size")) & (F.col("root") != F.col("home"))
-        for c in before:
-            alike &= differ(c, f"pivot_{c}")
-        pairs = open_ones.join(pivot, "bucket").where(alike & (F.col("rep") != F.col("pivot")))
-        pairs = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        if turn:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = stage.store(pairs, f"pairs{turn}")
-        compared = compared if turn else pairs  # a later round makes no pair of its own again
-        near = stage.store(possible(pairs, sketched, share).distinct(), f"near{turn}")
-        fresh = stage.store(confirm(near, texts, width, share), f"fresh{turn}")
-        if not fresh.isEmpty():
-            links = stage.store(links.union(fresh), f"links{turn}")
-            found = roots(links, stage, f"roots{turn}")
-        done = pivot.select("bucket", F.col("pivot").alias("rep"))
-        buckets = open_ones.select("rep", "n", "bucket", *before).join(done, ["bucket", "rep"], "left_anti")
-        turn, pivots = turn + 1, pivots * FACTOR
-        stage.release()
+        return stage.store(named.join(mixed.where("low < high").select("bucket"), "bucket"), name)
+
+    # every member with the first one of its bucket
+    open_ones = unconnected(found, "open")
+    pivot = open_ones.groupBy("bucket").agg(F.min(F.struct("rep", "n", "root")).alias("p"))
+    pivot = pivot.select("bucket", "p.*").toDF("bucket", "pivot", "size", "home")
+    alike = (100 * F.least("n", "size") >= share * F.greatest("n", "size")) & (F.col("root") != F.col("home"))
+    pairs = open_ones.join(pivot, "bucket").where(alike & (F.col("rep") != F.col("pivot")))
+    pairs = stage.store(pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    near = stage.store(possible(pairs, sketched, share).distinct(), "near")
+    fresh = stage.store(confirm(near, texts, width, share), "fresh")
+    if not fresh.isEmpty():
+        links = stage.store(links.union(fresh), "links")
+        found = roots(links, stage, "first")
+    stage.release()
+
+    # the others with each other
+    open_ones = unconnected(found, "crowded").distinct()
+    inside = heads.join(open_ones.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", "d1"])
+    crowded = open_ones.join(inside.drop("n"), ["rep", "d1"])
+    more = stage.store(crowds(crowded.drop("d1"), share).distinct(), "more")
+    fresh = stage.store(confirm(more.join(near, ["a", "b"], "left_anti"), texts, width, share), "later")
+    if not fresh.isEmpty():
+        found = roots(stage.store(links.union(fresh), "all"), stage, "last")
+    stage.release()
 
     every = signed.join(classes, ["d1", "d2"], "left")
     rep = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
