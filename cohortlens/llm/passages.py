@@ -14,6 +14,7 @@ A passage that many documents share is one row per block, so no group grows with
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -79,7 +80,7 @@ def leads(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def marks(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n, d1, d2, phrases, places) of every row with a key."""
+    """(doc_id, salt, n, d1, d2, phrases, places) of every row with a key; ``salt`` is a hash of the text."""
     state: list[WordHashes] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -94,34 +95,48 @@ def marks(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array(sizes),
                 pa.array(d1.view(np.int64)),
                 pa.array(d2.view(np.int64)),
                 lists(found.view(np.int64), counts, pa.int64()),
                 lists(places.astype(np.int32), counts, pa.int32()),
             ],
-            ["doc_id", "n", "d1", "d2", "phrases", "places"],
+            ["doc_id", "salt", "n", "d1", "d2", "phrases", "places"],
         )
 
-    rows = docs.where(docs[key].isNotNull()).select(docs[key].cast("long"), docs[text].cast("string"))
-    schema = "doc_id long, n long, d1 long, d2 long, phrases array<long>, places array<int>"
+    text_of = docs[text].cast("string")
+    rows = docs.where(docs[key].isNotNull()).select(docs[key].cast("long"), text_of, F.xxhash64(text_of).alias("salt"))
+    schema = "doc_id long, salt long, n long, d1 long, d2 long, phrases array<long>, places array<int>"
     return map_batches(rows, run, schema)
 
 
 class Block:
-    """Documents of a block that can hold a repeated window, in the order of their ids."""
+    """Rows of a block that can hold a repeated window, in the order of their ids.
 
-    def __init__(self, table: pa.Table, copies: set[int], width: int):
+    ``copies`` has (doc_id, d1, d2) of the rows that go whole: an id may have several texts.
+    """
+
+    def __init__(self, table: pa.Table, copies: set[tuple[int, int, int]], width: int):
         self.parts = [cells(t) for t in texts_of(table["text"])]
         self.ids = table["doc_id"].to_pylist()
-        order = [
-            i for i, d in enumerate(self.ids) if d is not None and d not in copies and len(self.parts[i]) >= width
-        ]
+        hashes, rows_of = WordHashes(), Counter(self.ids)
+        # an id that is alone here and has no copy needs no digest to be told apart
+        ids = {doc for doc, _, _ in copies}
+        told = [i for i, d in enumerate(self.ids) if d in ids or rows_of[d] > 1]
+        chosen = [self.parts[i] for i in told]
+        found = digests(hashes.of(chosen), np.array([len(p) for p in chosen], np.int64)).view(np.int64)
+        digest = dict(zip(told, zip(*found.tolist(), strict=True), strict=True))
+        self.copied = [i in digest and (d, *digest[i]) in copies for i, d in enumerate(self.ids)]
+        order = [i for i, p in enumerate(self.parts) if len(p) >= width and not self.copied[i]]
         self.rows = sorted(order, key=lambda i: self.ids[i])
         chosen = [self.parts[i] for i in self.rows]
         self.sizes = np.array([len(p) for p in chosen], np.int64)
         self.edges = offsets_of(self.sizes)
-        self.words = WordHashes().of(chosen)
+        self.words = hashes.of(chosen)
+        #: Place of a row by its id and, where the id has several rows here, its first digest.
+        self.place = {(self.ids[i], digest[i][0] if rows_of[self.ids[i]] > 1 else None): k for k, i in enumerate(self.rows)}
+        self.shared = {d for d, n in rows_of.items() if n > 1}
         self.docs = np.array([self.ids[i] for i in self.rows], np.int64)
         self.width = width
 
@@ -143,11 +158,15 @@ class Block:
         return [code[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
 
 
+def _rows_of(side: pa.Table) -> set[tuple[int, int, int]]:
+    return set(zip(*(side[c].to_pylist() for c in ("doc_id", "d1", "d2")), strict=True))
+
+
 def _candidates(table: pa.Table, side: pa.Table, width: int) -> pa.Table:
     """Distinct windows around the occurrences of recurring phrases: first place and number in the block."""
     shape = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
     lead = side.filter(pc.is_valid(side["place"]))
-    copies = set(side.filter(pc.is_null(side["place"]))["doc_id"].to_pylist())
+    copies = _rows_of(side.filter(pc.is_null(side["place"])))
     if not lead.num_rows or not table.num_rows:
         return shape.empty_table()
     with np.errstate(over="ignore"):
@@ -155,12 +174,11 @@ def _candidates(table: pa.Table, side: pa.Table, width: int) -> pa.Table:
         if not block.rows:
             return shape.empty_table()
         texts = block.strings()
-        d1 = digests(block.words, block.sizes)[0].view(np.int64)
-        of = {(int(d), int(x)): i for i, (d, x) in enumerate(zip(block.docs, d1, strict=True))}
         phrase = min(PHRASE, width)
         automaton = ahocorasick.Automaton()
         for doc, digest, place in zip(*(lead[c].to_pylist() for c in ("doc_id", "d1", "place")), strict=True):
-            found = texts[of[doc, digest]][place: place + phrase]
+            row = block.place[doc, digest if doc in block.shared else None]
+            found = texts[row][place: place + phrase]
             automaton.add_word(found, place)
         automaton.make_automaton()
         change = np.zeros(len(block.words) + 1, np.int64)
@@ -189,8 +207,7 @@ def _candidates(table: pa.Table, side: pa.Table, width: int) -> pa.Table:
 
 def _removed(table: pa.Table, side: pa.Table, width: int) -> tuple[list[bytes], list[int], list[int]]:
     """Kept words joined by a space, number of words and of removed words, for every row."""
-    copy = side.filter(pc.is_null(side["h1"]))
-    copies = set(copy["doc_id"].to_pylist())
+    copies = _rows_of(side.filter(pc.is_null(side["h1"])))
     side = side.filter(pc.is_valid(side["h1"]))
     with np.errstate(over="ignore"):
         block = Block(table, copies, width)
@@ -212,8 +229,8 @@ def _removed(table: pa.Table, side: pa.Table, width: int) -> tuple[list[bytes],
                 np.add.at(gone, begin + width, -1)
         gone = np.cumsum(gone)[:-1] > 0
     kept, removed = [b" ".join(p) for p in block.parts], [0] * len(block.parts)
-    for i, d in enumerate(block.ids):
-        if d in copies and len(block.parts[i]) >= width:
+    for i, copied in enumerate(block.copied):
+        if copied and len(block.parts[i]) >= width:
             kept[i], removed[i] = b"", len(block.parts[i])
     for i, a, b in zip(block.rows, block.edges[:-1], block.edges[1:], strict=True):
         n = int(gone[a:b].sum())
@@ -229,8 +246,8 @@ def remove(docs: DataFrame, width: int = 20, key: str = "doc_id", text: str = "t
     Words stand between ASCII white space. A word goes if a window of ``width`` consecutive words
     covers it whose words also start earlier: in a smaller doc_id, or earlier in the same one. ``kept``
     has the other words, joined by a space. Windows are judged on the input. Null and empty texts have
-    no words. Rows without doc_id come first nowhere and keep their words; rows that share a doc_id
-    and start with the same window at the same place don't count as earlier than each other. An empty
+    no words. Rows without doc_id come first nowhere and keep their words; they pass by the groups. An id
+    may have several texts: each row is judged by its own. Rows that share a doc_id and start with the same window at the same place don't count as earlier than each other. An empty
     table gives no rows. Extra columns travel in ``row``, so their names can't clash.
     """
     spark = docs.sparkSession
@@ -241,26 +258,30 @@ def remove(docs: DataFrame, width: int = 20, key: str = "doc_id", text: str = "t
     words = marked.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-words // BLOCK))
 
-    def block(column: Column) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int").alias("block")
+    def block(salt: Column) -> Column:
+        """By id and text, so that no id is one group however many texts it has."""
+        return F.pmod(F.xxhash64(F.col("doc_id"), salt), F.lit(blocks)).cast("int").alias("block")
 
     # copies of a whole earlier document go whole; the others are searched
     both = marked.join(first, ["d1", "d2", "n"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
-    copies = stage.store(both.where("copy").select("doc_id").distinct().select(block(F.col("doc_id")), "doc_id"), "copies")
-    live = both.where("not copy").select("doc_id", "d1", F.explode(F.arrays_zip("phrases", "places")).alias("p"))
-    live = live.select(F.col("p.phrases").alias("phrase"), "doc_id", "d1", F.col("p.places").alias("place"))
+    named = ["block", "doc_id", "d1", "d2"]
+    copies = both.where("copy").select(block(F.col("salt")), *named[1:]).distinct()
+    copies = stage.store(copies, "copies")
+    live = both.where("not copy").select(block(F.col("salt")), "doc_id", "d1", F.explode(F.arrays_zip("phrases", "places")).alias("p"))
+    live = live.select("block", F.col("p.phrases").alias("phrase"), "doc_id", "d1", F.col("p.places").alias("place"))
     recurring = stage.store(live.groupBy("phrase").count().where("count > 1").select("phrase"), "recurring")
-    found = live.join(recurring, "phrase").groupBy(block(F.col("doc_id")), "phrase")
-    found = found.agg(F.min(F.struct("doc_id", "d1", "place")).alias("p")).select("block", "p.*")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("d1", "long"), ("place", "int"))]
-    found = stage.store(found.union(copies.select("block", "doc_id", *none)), "leads")
+    found = live.join(recurring, "phrase").groupBy("block", "phrase")
+    found = found.agg(F.min(F.struct("doc_id", "d1", "place")).alias("p"))
+    found = found.select("block", "p.doc_id", "p.d1", F.lit(None).cast("long").alias("d2"), "p.place")
+    found = stage.store(found.union(copies.select(*named, F.lit(None).cast("int").alias("place"))), "leads")
     stage.drop("recurring", "marks", "first")
     stage.release()
 
-    rows = docs.select(
-        block(docs[key].cast("long")), docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"),
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
-    )
+    text_of = docs[text].cast("string")
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    rows = docs.where(docs[key].isNotNull()).select(docs[key].cast("long").alias("doc_id"), text_of.alias("text"), F.xxhash64(text_of).alias("salt"), whole)
+    rows = rows.select(block(F.col("salt")), "doc_id", "text", "row")
+    unkeyed = docs.where(docs[key].isNull()).select(F.lit(None).cast("long").alias("doc_id"), text_of.alias("text"), whole)
 
     def locate(key: tuple, table: pa.Table, side: pa.Table) -> pa.Table:
         out = _candidates(table, side, width)
@@ -275,9 +296,9 @@ def remove(docs: DataFrame, width: int = 20, key: str = "doc_id", text: str = "t
     hits = spots.join(again, ["h1", "h2"])
     # where a block has only the first place there is nothing to remove
     hits = hits.where((F.col("n") > 1) | (F.struct("doc_id", "start") != F.col("f")))
-    hits = hits.select("block", "h1", "h2", "f.doc_id", "f.start")
-    none = [F.lit(None).cast("long").alias(c) for c in ("h1", "h2")]
-    hits = hits.union(copies.select("block", *none, "doc_id", F.lit(None).cast("long").alias("start")))
+    none = {c: F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "d1", "d2", "start")}
+    hits = hits.select("block", "h1", "h2", "f.doc_id", "f.start", none["d1"], none["d2"])
+    hits = hits.union(copies.select("block", none["h1"], none["h2"], "doc_id", none["start"], "d1", "d2"))
     hits = stage.store(hits, "hits")
     stage.drop("spots", "again", "leads")
     stage.release()
@@ -293,10 +314,16 @@ def remove(docs: DataFrame, width: int = 20, key: str = "doc_id", text: str = "t
              "kept": pa.array(texts, pa.string()), "row": table["row"]}
         )
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(
-        strip, f"doc_id long, n_words long, n_removed long, kept string, row {kind}"
-    )
+    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = [cells(t) for t in texts_of(batch.column("text"))]
+        texts = pa.array([b" ".join(w).decode("utf-8", "surrogatepass") for w in words], pa.string())
+        counts, none = pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64())
+        columns = [batch.column("doc_id"), counts, none, texts, batch.column("row")]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", "row"])
+
+    schema = f"doc_id long, n_words long, n_removed long, kept string, row {rows.schema['row'].dataType.simpleString()}"
+    judged = rows.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(strip, schema)
+    return judged.unionByName(map_batches(unkeyed, keep, schema))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

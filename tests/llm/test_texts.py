@@ -129,6 +129,34 @@ def test_groups_of_chains_and_crowds(spark):
     assert {r.doc_id: r.component_id for r in found} == brute_groups(rows, 2, 80)
 
 
+@pytest.mark.parametrize("crowd", [2048, 9])
+def test_a_crowd_that_is_alike_by_less_than_the_share(spark, monkeypatch, crowd):
+    """Members alike by 0.5 to 0.9 that meet in most tables, some of them linked, in blocks and in one group."""
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    monkeypatch.setattr(neardup, "CHUNK", 3000)
+    rnd = random.Random(crowd)
+    base = [f"c{j}" for j in range(90)]
+    rows = []
+    for i in range(90):
+        share = rnd.choice([0.86, 0.9, 0.94, 0.97])
+        rows.append((i, " ".join(w if rnd.random() < share else f"x{rnd.randrange(400)}" for w in base)))
+    rows += [(200 + i, rows[i][1] + " and a tail of its own") for i in range(5)] + [(300, rows[3][1]), (300, rows[40][1])]
+    found = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    want = brute_groups(rows, 2, 80)
+    assert {r.doc_id: r.component_id for r in found} == want and 20 < len(set(want.values())) < 90
+
+
+def test_sketches_in_matrices_equal_single_ones():
+    draw = np.random.default_rng(8)
+    sets = [np.unique(draw.integers(0, 3000, n).astype(np.uint64)) for n in (3, 30, 40, 70, 400, 420, 900)]
+    flat, sizes = neardup.sketches(np.concatenate(sets), np.array([*map(len, sets)]))
+    made = [x.tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(7), np.arange(7)))
+    gaps = np.array([neardup.apart(made[a], made[b]) for a, b in zip(x, y, strict=True)])
+    for most in (gaps, gaps - 1, np.full(49, 100)):
+        assert (neardup.passing(made, made, x, y, most) == (gaps <= most)).all()
+
+
 def test_sketches_never_overstate_the_difference():
     draw = np.random.default_rng(4)
     sets = [draw.integers(0, 6000, n).astype(np.uint64) for n in (1, 2, 30, 33, 400, 500, 600, 5000, 9000)]
@@ -172,6 +200,16 @@ def test_passages_equal_brute_force(docs, nothing, rows, width):
     assert passages.remove(nothing, width).count() == 0
 
 
+@pytest.mark.parametrize("block", [10, 500_000])
+def test_passages_of_an_id_with_several_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(passages, "BLOCK", block)
+    a, t = (" ".join(f"{x}{i}" for i in range(40)) for x in "at")
+    for rows in ([(1, a), (2, a), (2, t)], [(1, a), (2, a), (2, t), (3, t + " tail")], [(2, a), (2, t), (2, a + " " + t), (1, "x " + a)]):
+        rows = rows + [(None, a)] * 3
+        found = passages.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == brute_passages(rows, 20)
+
+
 def test_passages_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(passages, "BLOCK", 300)
     rnd = random.Random(9)
