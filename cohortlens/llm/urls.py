@@ -1,16 +1,17 @@
 """Operator 10: URL filter by rules and by a tree of path templates.
 
-Rules judge the URLs they fit. All others are judged by the tree: per host, path segments that vary
-become wildcards, sibling branches whose share of blocked URLs is statistically alike are merged, and
-a template is rejected when its smoothed share of blocked URLs, learned from the URLs that rules
-judge, is above one half.
+Rules judge the URLs they fit. All others are judged by the tree: per host, a path segment becomes a
+wildcard unless enough judged URLs hold it and their share of blocked ones differs from that of its
+siblings; siblings that are alike go on as one branch. A template is rejected when its smoothed
+share of blocked URLs, learned from the URLs that rules judge, is above one half.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import Stage, read
@@ -24,8 +25,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DEPTH = 6  # segments that form levels of the tree; what lies below is one wildcard
-FANOUT = 50  # children of a node above which its level varies
+RARE = 5  # judged URLs below which a segment is not told apart from its siblings
 PRIOR = 8.0  # judged URLs that a parent's share counts for
 ALIKE = 2.0  # standard errors within which siblings are merged
 LIMIT = 0.5
@@ -52,63 +52,74 @@ def judged(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
 
 
 def levels(path: Column) -> Column:
-    """The first segments; those that hold digits or are long lose what varies; a wildcard for the rest.
-
-    A run of digits becomes ``*`` and the extension stays, so ``/en/12.html`` gives [en, *.html].
-    """
+    """All segments; a run of digits becomes ``*`` and the extension stays, so ``/en/12.html`` gives [en, *.html]."""
     found = F.filter(F.split(path, "/"), lambda s: s != "")
-    plain = F.transform(
-        found, lambda s: F.when(F.length(s) > 32, "*").otherwise(F.regexp_replace(s, r"[0-9]+", "*"))
-    )
-    return F.when(F.size(plain) > DEPTH, F.concat(F.slice(plain, 1, DEPTH), F.array(F.lit("**")))).otherwise(plain)
+    return F.transform(found, lambda s: F.regexp_replace(s, r"[0-9]+", "*"))
+
+
+def _common(low: str, high: str) -> Column:
+    """Number of leading elements that two different arrays share."""
+    same = F.zip_with(low, high, lambda x, y: x.eqNullSafe(y))
+    # the first place where they differ; zip_with pads the shorter one with NULL
+    return F.array_position(same, False) - 1
 
 
 def tree(counts: DataFrame, stage: Stage) -> DataFrame:
     """(host, shape, share): smoothed share of blocked URLs for every (host, shape) of ``counts``.
 
-    ``counts`` has one row per host and shape with the numbers of blocked and allowed URLs. Level
-    by level a node with more than ``FANOUT`` different children turns them into ``*``; then
-    children whose share lies within ``ALIKE`` standard errors of all their siblings together count
-    as one branch. The share of a branch leans on its parent's with the weight of ``PRIOR`` URLs,
-    the host's on that of all hosts.
+    ``counts`` has one row per host and shape with the numbers of blocked and allowed URLs. A node
+    parts its shapes where they first differ, however deep that is; a shape that ends there is a child
+    as well. A child with ``RARE`` judged URLs or more whose share lies outside ``ALIKE`` standard errors
+    of all its siblings together is a branch of its own; the others are one branch, the wildcard.
+    The share of a branch leans on its parent's with the weight of ``PRIOR`` URLs, the host's on that of
+    all hosts; where all children are alike it stays the parent's. Rounds go on while a node holds
+    different shapes, so there are as many as branchings on the way to a leaf.
     """
     whole = counts.agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    rows = counts.withColumn("node", F.array().cast("array<string>"))
-    host = counts.groupBy("host").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
     base = whole.select(((F.col("b") + PRIOR / 2) / (F.col("a") + F.col("b") + PRIOR)).alias("share")).scalar()
+    host = counts.groupBy("host").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
     shares = host.select("host", _lean(F.col("b"), F.col("a"), base).alias("share"))
-    rows = stage.store(rows.join(shares, "host"), "level0")
-    siblings = Window.partitionBy("host", "node")
-    deepest = counts.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(1, deepest + 1):
-        child = F.element_at("shape", level)
-        deeper = rows.withColumn("child", F.when(F.size("shape") >= level, child))
-        nodes = deeper.where(F.col("child").isNotNull()).groupBy("host", "node", "child")
-        nodes = nodes.agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.first("share").alias("up"))
-        wide = nodes.groupBy("host", "node").agg((F.count("*") > FANOUT).alias("wide"))
-        # nodes that vary have one child from here on, the others at most FANOUT
-        nodes = stage.store(nodes.join(wide, ["host", "node"]), f"nodes{level}")
-        named = F.when(F.col("wide"), "*").otherwise(F.col("child"))
-        merged = nodes.groupBy("host", "node", named.alias("name")).agg(
-            F.sum("b").alias("b"), F.sum("a").alias("a"), F.max("up").alias("up")
+    rows = counts.join(shares, "host").select(
+        "host", "shape", "blocked", "allowed", "share", F.array().cast("array<string>").alias("node"), F.col("shape").alias("rest")
+    )
+    rows, done, turn = stage.store(rows, "level0"), [], 0
+    by = ["host", "node"]
+    while True:
+        ends = rows.groupBy(*by).agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        ends = stage.store(ends.select(*by, F.when(F.col("low") != F.col("high"), _common("low", "high")).alias("at")), f"ends{turn}")
+        placed = stage.store(rows.join(ends, by), f"placed{turn}")
+        done.append(placed.where(F.col("at").isNull()).select("host", "shape", "share"))
+        deeper = placed.where(F.col("at").isNotNull())
+        if deeper.isEmpty():
+            break
+        # an end is a child without name, as no segment is empty
+        child = F.coalesce(F.get("rest", F.col("at").cast("int")), F.lit(""))
+        deeper = deeper.withColumn("child", child)
+        nodes = deeper.groupBy(*by, "child").agg(
+            F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.first("share").alias("up")
         )
-        total_b, total_a = F.sum("b").over(siblings), F.sum("a").over(siblings)
+        pools = nodes.groupBy(*by).agg((F.sum("b") / F.sum(F.col("a") + F.col("b"))).alias("pool"))
         n = F.col("a") + F.col("b")
-        pool = total_b / (total_a + total_b)
-        # without judged URLs a child says nothing against its siblings
-        apart = (n > 0) & (F.abs(F.col("b") / n - pool) > ALIKE * F.sqrt(pool * (1 - pool) / n))
-        merged = merged.withColumn("branch", F.when(apart, F.col("name")).otherwise(F.lit("~")))
-        merged = merged.withColumn("b", F.sum("b").over(Window.partitionBy("host", "node", "branch")))
-        merged = merged.withColumn("a", F.sum("a").over(Window.partitionBy("host", "node", "branch")))
-        merged = merged.select("host", "node", "name", _lean(F.col("b"), F.col("a"), F.col("up")).alias("next"))
-        known = nodes.select("host", "node", "child", named.alias("name")).join(merged, ["host", "node", "name"])
-        rows = deeper.join(known, ["host", "node", "child"], "left").select(
-            "host", "shape", "blocked", "allowed",
-            F.when(F.col("name").isNotNull(), F.concat("node", F.array("name"))).otherwise(F.col("node")).alias("node"),
-            F.coalesce("next", "share").alias("share"),
+        apart = (n >= RARE) & (F.abs(F.col("b") / n - F.col("pool")) > ALIKE * F.sqrt(F.col("pool") * (1 - F.col("pool")) / n))
+        nodes = nodes.join(pools, by).withColumn("name", F.when(F.coalesce(apart, F.lit(False)), F.col("child")).otherwise("*"))
+        nodes = stage.store(nodes, f"nodes{turn}")
+        branches = nodes.groupBy(*by, "name").agg(
+            F.sum("b").alias("b"), F.sum("a").alias("a"), F.first("up").alias("up")
+        )
+        alone = F.count_if(F.col("name") != "*") == 0
+        plain = nodes.groupBy(*by).agg(alone.alias("plain"))
+        branches = branches.join(plain, by).select(
+            *by, "name", F.when(F.col("plain"), F.col("up")).otherwise(_lean(F.col("b"), F.col("a"), F.col("up"))).alias("next")
+        )
+        known = nodes.select(*by, "child", "name").join(branches, [*by, "name"])
+        rows = deeper.join(known, [*by, "child"]).select(
+            "host", "shape", "blocked", "allowed", F.col("next").alias("share"), F.concat("node", F.array("name")).alias("node"),
+            # behind the child; nothing where the shape ends
+            F.slice("rest", (F.col("at") + 2).cast("int"), F.greatest(F.size("rest"), F.lit(1))).alias("rest"),
         )
-        rows = stage.store(rows, f"level{level}")
-    return rows.select("host", "shape", "share")
+        turn += 1
+        rows = stage.store(rows, f"level{turn}")
+    return reduce(DataFrame.unionByName, done)
 
 
 def _lean(blocked: Column, allowed: Column, share) -> Column:
