@@ -98,9 +98,10 @@ def tree(counts: DataFrame, stage: Stage) -> DataFrame:
         nodes = deeper.groupBy(*by, "child").agg(
             F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.first("share").alias("up")
         )
-        pools = nodes.groupBy(*by).agg((F.sum("b") / F.sum(F.col("a") + F.col("b"))).alias("pool"))
+        pools = nodes.groupBy(*by).agg(F.try_divide(F.sum("b"), F.sum(F.col("a") + F.col("b"))).alias("pool"))
         n = F.col("a") + F.col("b")
-        apart = (n >= RARE) & (F.abs(F.col("b") / n - F.col("pool")) > ALIKE * F.sqrt(F.col("pool") * (1 - F.col("pool")) / n))
+        gap = F.abs(F.try_divide(F.col("b"), n) - F.col("pool"))
+        apart = (n >= RARE) & (gap > ALIKE * F.sqrt(F.try_divide(F.col("pool") * (1 - F.col("pool")), n)))
         nodes = nodes.join(pools, by).withColumn("name", F.when(F.coalesce(apart, F.lit(False)), F.col("child")).otherwise("*"))
         nodes = stage.store(nodes, f"nodes{turn}")
         branches = nodes.groupBy(*by, "name").agg(
