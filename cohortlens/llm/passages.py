@@ -27,14 +27,13 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import (
     BASES,
     Stage,
-    WordHashes,
     lists,
     map_batches,
     mix,
     offsets_of,
+    ragged,
     read,
     sliding,
-    texts_of,
     windows,
 )
 
@@ -42,8 +41,68 @@ PHRASE = 8  # words
 BLOCK = 500_000  # words of a block, on average
 
 
-def cells(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the low n bytes of 8
+
+
+class Words:
+    """Words of texts as ranges of their bytes: ``begin`` and ``end`` of each, ``sizes`` words a text."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        whole = pa.chunked_array(column.chunks if isinstance(column, pa.ChunkedArray) else [column], column.type)
+        texts = whole.cast(pa.large_binary()).fill_null(b"").combine_chunks()
+        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+        n, (_, offsets, data) = len(texts), texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset: texts.offset + n + 1] if n else np.zeros(1, np.int64)
+        self.data = np.frombuffer(data or b"", np.uint8)[at[0]: at[-1]]
+        at = at - at[0]
+        inside = ~SPACE[self.data]
+        edge = np.zeros(len(self.data) + 1, bool)
+        edge[at] = True
+        beside = np.concatenate([[False], inside, [False]])
+        self.begin = np.flatnonzero(inside & (~beside[:-2] | edge[:-1]))
+        self.end = np.flatnonzero(inside & (~beside[2:] | edge[1:])) + 1
+        self.edges = np.searchsorted(self.begin, at)
+        self.sizes = np.diff(self.edges)
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of every word, from its length and its bytes in groups of 8."""
+        length = self.end - self.begin
+        groups = (length + 7) // 8
+        number = ragged(np.zeros(len(groups), np.int64), groups)
+        at = np.repeat(self.begin, groups) + 8 * number
+        left = np.minimum(np.repeat(self.end, groups) - at, 8)
+        # the 8 bytes from every place on
+        eights = np.ndarray(len(self.data), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        each = mix((eights[at] & MASKS[left]) ^ mix(number.astype(np.uint64), 7), 8)
+        total = np.add.reduceat(each, offsets_of(groups)[:-1]) if len(groups) else each
+        return mix(total ^ mix(length.astype(np.uint64), 9), 10)
+
+    def joined(self, keep: np.ndarray) -> pa.Array:
+        """The words to keep of every text, joined by a space."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[keep]
+        begin, end = self.begin[keep], self.end[keep]
+        follows = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
+        # a word that another one follows has white space behind it
+        data, gaps = self.data.copy(), end[follows]
+        data[gaps] = 32
+        change = np.zeros(len(data) + 1, np.int8)
+        change[begin] += 1
+        change[end] -= 1
+        wanted = np.cumsum(change[:-1], dtype=np.int8) > 0
+        wanted[gaps] = True
+        sizes = np.bincount(owner, end - begin + follows, len(self.sizes)).astype(np.int64)
+        offsets = pa.py_buffer(offsets_of(sizes).tobytes())
+        texts = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, offsets, pa.py_buffer(data[wanted].tobytes())])
+        return texts.cast(pa.string())
+
+
+def flagged(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """False where a hash is none of the known ones for sure, told by its low bits."""
+    bits = np.uint64((1 << 22) - 1)
+    flags = np.zeros(1 << 22, bool)
+    flags[known & bits] = True
+    return flags[asked & bits]
 
 
 def digests(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -81,15 +140,11 @@ def leads(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray,
 
 def marks(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """(doc_id, salt, n, d1, d2, phrases, places) of every row with a key; ``salt`` is a hash of the text."""
-    state: list[WordHashes] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not state:
-            state.append(WordHashes())
         with np.errstate(over="ignore"):
-            parts = [cells(t) for t in texts_of(batch.column(1))]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            words = state[0].of(parts)
+            texts = Words(batch.column(1))
+            sizes, words = texts.sizes, texts.hashes()
             found, places, counts = leads(words, sizes, width)
             d1, d2 = digests(words, sizes)
         yield pa.RecordBatch.from_arrays(
@@ -118,22 +173,24 @@ class Block:
     """
 
     def __init__(self, table: pa.Table, copies: set[tuple[int, int, int]], width: int):
-        self.parts = [cells(t) for t in texts_of(table["text"])]
+        self.texts = Words(table["text"])
         self.ids = table["doc_id"].to_pylist()
-        hashes, rows_of = WordHashes(), Counter(self.ids)
+        all_words, sizes, rows_of = self.texts.hashes(), self.texts.sizes, Counter(self.ids)
+
+        def words_of(rows: list[int]) -> np.ndarray:
+            return all_words[ragged(self.texts.edges[:-1][rows], sizes[rows])]
+
         # an id that is alone here and has no copy needs no digest to be told apart
         ids = {doc for doc, _, _ in copies}
         told = [i for i, d in enumerate(self.ids) if d in ids or rows_of[d] > 1]
-        chosen = [self.parts[i] for i in told]
-        found = digests(hashes.of(chosen), np.array([len(p) for p in chosen], np.int64)).view(np.int64)
+        found = digests(words_of(told), sizes[told]).view(np.int64)
         digest = dict(zip(told, zip(*found.tolist(), strict=True), strict=True))
         self.copied = [i in digest and (d, *digest[i]) in copies for i, d in enumerate(self.ids)]
-        order = [i for i, p in enumerate(self.parts) if len(p) >= width and not self.copied[i]]
+        order = [i for i, n in enumerate(sizes.tolist()) if n >= width and not self.copied[i]]
         self.rows = sorted(order, key=lambda i: self.ids[i])
-        chosen = [self.parts[i] for i in self.rows]
-        self.sizes = np.array([len(p) for p in chosen], np.int64)
+        self.sizes = sizes[self.rows]
         self.edges = offsets_of(self.sizes)
-        self.words = hashes.of(chosen)
+        self.words = words_of(self.rows)
         #: Place of a row by its id and, where the id has several rows here, its first digest.
         self.place = {(self.ids[i], digest[i][0] if rows_of[self.ids[i]] > 1 else None): k for k, i in enumerate(self.rows)}
         self.shared = {d for d, n in rows_of.items() if n > 1}
@@ -151,11 +208,25 @@ class Block:
         fits = start + self.width <= self.sizes[owner]
         return h1[fits], h2[fits], owner[fits], start[fits]
 
-    def strings(self) -> list[str]:
-        """Every document as a string of one character per word."""
-        _, code = np.unique(self.words, return_inverse=True)
-        code = (code % 0x10FFFE + 1).astype("<u4")
-        return [code[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
+    def coded(self, phrases: np.ndarray) -> np.ndarray:
+        """A number from 1 on for every word that stands in a phrase of ``PHRASE`` words at most, 0 for others."""
+        known = np.unique(self.words[phrases])
+        some = np.flatnonzero(flagged(known, self.words))
+        at = np.minimum(np.searchsorted(known, self.words[some]), len(known) - 1)
+        same = known[at] == self.words[some]
+        codes = np.zeros(len(self.words), "<u4")
+        codes[some[same]] = at[same] % 0x10FFFE + 1
+        return codes
+
+    def runs(self, codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the runs of ``least`` coded words and more inside a document."""
+        inside = codes > 0
+        edge = np.zeros(len(codes) + 1, bool)
+        edge[self.edges] = True
+        beside = np.concatenate([[False], inside, [False]])
+        begin = np.flatnonzero(inside & (~beside[:-2] | edge[:-1]))
+        end = np.flatnonzero(inside & (~beside[2:] | edge[1:])) + 1
+        return begin[end - begin >= least], end[end - begin >= least]
 
 
 def _rows_of(side: pa.Table) -> set[tuple[int, int, int]]:
@@ -173,24 +244,29 @@ def _candidates(table: pa.Table, side: pa.Table, width: int) -> pa.Table:
         block = Block(table, copies, width)
         if not block.rows:
             return shape.empty_table()
-        texts = block.strings()
         phrase = min(PHRASE, width)
+        row = [block.place[doc, d if doc in block.shared else None] for doc, d in zip(*(lead[c].to_pylist() for c in ("doc_id", "d1")), strict=True)]
+        begin = block.edges[row] + np.asarray(lead["place"].combine_chunks())
+        codes = block.coded(ragged(begin, np.full(len(begin), phrase)))
+
+        def string(a: int, b: int) -> str:
+            return codes[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+
         automaton = ahocorasick.Automaton()
-        for doc, digest, place in zip(*(lead[c].to_pylist() for c in ("doc_id", "d1", "place")), strict=True):
-            row = block.place[doc, digest if doc in block.shared else None]
-            found = texts[row][place: place + phrase]
-            automaton.add_word(found, place)
+        for a in begin.tolist():
+            automaton.add_word(string(a, a + phrase), a)
         automaton.make_automaton()
+        # a word of no phrase ends all that the automaton has read
+        ends = [a + end for a, b in zip(*block.runs(codes, phrase), strict=True) for end, _ in automaton.iter(string(a, b))]
+        ends = np.array(ends, np.int64)
+        of = np.searchsorted(block.edges, ends, side="right") - 1
+        # windows that hold the phrase whole
+        first = np.maximum(ends - width + 1, block.edges[of])
+        last = np.minimum(ends - phrase + 1, block.edges[of + 1] - width)
+        fits = first <= last
         change = np.zeros(len(block.words) + 1, np.int64)
-        for i, text in enumerate(texts):
-            ends = np.array([end for end, _ in automaton.iter(text)], np.int64)
-            if len(ends):
-                # windows that hold the phrase whole
-                first = np.maximum(ends - width + 1, 0)
-                last = np.minimum(ends - phrase + 1, len(text) - width)
-                fits = first <= last
-                np.add.at(change, block.edges[i] + first[fits], 1)
-                np.add.at(change, block.edges[i] + last[fits] + 1, -1)
+        np.add.at(change, first[fits], 1)
+        np.add.at(change, last[fits] + 1, -1)
         near = np.cumsum(change)[:-1] > 0
         h1, h2, owner, start = block.hashes()
         at = np.flatnonzero(near[block.edges[owner] + start])
@@ -205,7 +281,7 @@ def _candidates(table: pa.Table, side: pa.Table, width: int) -> pa.Table:
     return pa.table([h1[new].view(np.int64), h2[new].view(np.int64), docs[new], start[new], n], schema=shape)
 
 
-def _removed(table: pa.Table, side: pa.Table, width: int) -> tuple[list[bytes], list[int], list[int]]:
+def _removed(table: pa.Table, side: pa.Table, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Kept words joined by a space, number of words and of removed words, for every row."""
     copies = _rows_of(side.filter(pc.is_null(side["h1"])))
     side = side.filter(pc.is_valid(side["h1"]))
@@ -218,6 +294,8 @@ def _removed(table: pa.Table, side: pa.Table, width: int) -> tuple[list[bytes],
             key = known[0].view(np.uint64), known[1].view(np.uint64)
             order = np.lexsort((key[1], key[0]))
             k1, k2, doc, place = key[0][order], key[1][order], known[2][order], known[3][order]
+            some = np.flatnonzero(flagged(k1, h1))
+            h1, h2, owner, start = h1[some], h2[some], owner[some], start[some]
             low, high = np.searchsorted(k1, h1), np.searchsorted(k1, h1, side="right")
             # first hashes may agree where the second ones differ
             for step in range(int((high - low).max(initial=0))):
@@ -227,17 +305,12 @@ def _removed(table: pa.Table, side: pa.Table, width: int) -> tuple[list[bytes],
                 begin = (block.edges[owner] + start)[hit]
                 np.add.at(gone, begin, 1)
                 np.add.at(gone, begin + width, -1)
-        gone = np.cumsum(gone)[:-1] > 0
-    kept, removed = [b" ".join(p) for p in block.parts], [0] * len(block.parts)
-    for i, copied in enumerate(block.copied):
-        if copied and len(block.parts[i]) >= width:
-            kept[i], removed[i] = b"", len(block.parts[i])
-    for i, a, b in zip(block.rows, block.edges[:-1], block.edges[1:], strict=True):
-        n = int(gone[a:b].sum())
-        if n:
-            removed[i] = n
-            kept[i] = b" ".join([w for w, x in zip(block.parts[i], gone[a:b].tolist(), strict=True) if not x])
-    return kept, [len(p) for p in block.parts], removed
+    sizes, edges = block.texts.sizes, block.texts.edges
+    drop = np.zeros(edges[-1], bool)
+    drop[ragged(edges[:-1][block.rows], block.sizes)] = np.cumsum(gone)[:-1] > 0
+    drop |= np.repeat(np.array(block.copied, bool) & (sizes >= width), sizes)
+    removed = np.diff(np.concatenate([[0], np.cumsum(drop)])[edges])
+    return block.texts.joined(~drop), sizes, removed
 
 
 def remove(docs: DataFrame, width: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,17 +381,16 @@ def remove(docs: DataFrame, width: int = 20, key: str = "doc_id", text: str = "t
             return pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()))}
                             | {"row": pa.array([], table.schema.field("row").type)})
         kept, n_words, n_removed = _removed(table, side, width)
-        texts = [k.decode("utf-8", "surrogatepass") for k in kept]
         return pa.table(
             {"doc_id": table["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
-             "kept": pa.array(texts, pa.string()), "row": table["row"]}
+             "kept": kept, "row": table["row"]}
         )
 
     def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        words = [cells(t) for t in texts_of(batch.column("text"))]
-        texts = pa.array([b" ".join(w).decode("utf-8", "surrogatepass") for w in words], pa.string())
-        counts, none = pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64())
-        columns = [batch.column("doc_id"), counts, none, texts, batch.column("row")]
+        texts = Words(batch.column("text"))
+        counts, none = pa.array(texts.sizes, pa.int64()), pa.array(np.zeros(len(texts.sizes), np.int64))
+        kept = texts.joined(np.ones(texts.edges[-1], bool))
+        columns = [batch.column("doc_id"), counts, none, kept, batch.column("row")]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", "row"])
 
     schema = f"doc_id long, n_words long, n_removed long, kept string, row {rows.schema['row'].dataType.simpleString()}"

@@ -224,3 +224,24 @@ def test_passages_over_many_blocks(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     found = passages.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == brute_passages(rows, 20)
+
+
+def test_words_of_passages_are_ranges_of_bytes():
+    """Words, their hashes and joined texts of odd columns: nulls, slices, chunks, zero bytes, white space beyond ASCII."""
+    rng = random.Random(1)
+    bits = ["a", "b", "\0", " ", "  ", "\t", "\x0b", "\x1c", "\x85", "é", "😀", "word", "longerword", "x" * 17]
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(bits, k=rng.randrange(12))) for _ in range(rng.randrange(6))]
+        column = pa.array(["cut off", *texts], pa.string()).slice(1)
+        if rng.random() < 0.5:
+            column = pa.chunked_array([column.slice(0, 2), column.slice(2)], pa.string())
+        found = passages.Words(column)
+        parts = [(t or "").encode().split() for t in texts]
+        flat = [w for p in parts for w in p]
+        assert found.sizes.tolist() == [len(p) for p in parts]
+        assert [found.data[a:b].tobytes() for a, b in zip(found.begin, found.end, strict=True)] == flat
+        with np.errstate(over="ignore"):
+            assert len(set(zip(flat, found.hashes().tolist(), strict=True))) == len(set(flat)) == len(set(found.hashes().tolist()))
+        keep = np.array([rng.random() < 0.6 for _ in flat], bool)
+        left = iter(keep)
+        assert found.joined(keep).to_pylist() == [b" ".join(w for w in p if next(left)).decode() for p in parts]
