@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import enrolment as enrol
 from cohortlens.operators import grades, programmes, trailing, weekly
 from cohortlens.plans import schemas
-from cohortlens.session import tune
+from cohortlens.session import cut_lineage, tune
 from cohortlens.sources import buckets_for, export_csv, read_period, read_table, store_bucketed, write_parquet, write_period
 
 WEEK = "periodo_week"
@@ -32,7 +32,10 @@ def prepare(spark: SparkSession, source: str, out: str, csv: bool = True) -> dic
     def table(name: str) -> DataFrame:
         return read_table(spark, source, name, schemas.schema(name))
 
-    sites = programmes.clean_sites(table("sakai_site"))
+    # dealt, since a small file is one task, and stored before the filters, which would go into its scan
+    dealt = cut_lineage(table("sakai_site").repartition("site_id"), "site")
+    # the roster reads the cleaned sites three times
+    sites = cut_lineage(programmes.clean_sites(dealt), "clean_site")
     stored = {"roster": _store(programmes.programme_roster(sites, programmes.select_programmes(sites)), out, "roster")}
     stored["enrolment"] = _store(
         enrol.enrol_students(

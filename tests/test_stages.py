@@ -1,6 +1,9 @@
+import re
+
 from pyspark.sql import functions as F
 
 from cohortlens import sources
+from cohortlens.operators import enrolment, programmes
 from cohortlens.plans import stages
 from cohortlens.session import work_path
 
@@ -55,3 +58,28 @@ def test_parquet_file_count_is_an_option(spark):
     path = work_path(spark, "files")
     sources.write_parquet(spark.range(100), path, files=3)
     assert len(spark.read.parquet(path).inputFiles()) == 3
+
+
+def test_sites_of_one_small_file_are_many_tasks_and_cleaned_once(spark, tmp_path):
+    from cohortlens.plans.registry.adapters import World
+
+    parts = spark.range(400_000).selectExpr(
+        "id AS p_partkey", "CAST(id * 7 % 50 + 1 AS int) AS p_size", "concat('Brand#', hash(id)) AS p_brand"
+    )
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    world = World(spark, str(tmp_path))
+    assert world.clean_site().rdd.getNumPartitions() > 1
+    roster = world.roster()
+    assert "Exchange" not in roster._jdf.queryExecution().executedPlan().toString()
+    sites = world.clean_site()
+    want = programmes.programme_roster(sites, programmes.select_programmes(sites))
+    assert roster.count() > 0
+    assert roster.exceptAll(want).isEmpty() and want.exceptAll(roster).isEmpty()
+
+
+def test_rows_of_other_sites_meet_the_roster_before_any_exchange(spark, world):
+    users = world.site_user()
+    found = enrolment.enrol_students(users, world.roster(), world.role_grant(), world.role())
+    assert "_word" in found._jdf.queryExecution().executedPlan().toString()
+    # numbers, not texts of sites, are in the exchange of the pairs
+    assert re.search(r"hashpartitioning\(user_id#\d+L?, number#", users._jdf.queryExecution().executedPlan().toString())
