@@ -5,8 +5,8 @@ finds the substrings of at least ``LEAST`` tokens that stand on several pages; t
 template. On pages that mark no article, text they cover is boilerplate. Of an article repetition alone
 takes nothing away, since copies and quotations are prose: a block goes if it is mostly links that other
 pages have too, or a container of its own that also stands outside articles. Elements that are furniture
-by name or class are never main text. The pages of a large host are dealt to several arrays, which tell
-each other their blocks by hash.
+by name or class are never main text. The pages of a large host are dealt to several arrays, which ask
+each other for the substrings that decide about their blocks.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import SENT, Numbered, Stage, cut, mix, offsets_of, read
+from cohortlens.llm.common import SENT, Numbered, Stage, cut, lists, mix, offsets_of, read
 from cohortlens.llm.urls import parts
+from cohortlens.operators.keyfilter import key_filter, may_match
 
 PAGES = 256  # of one suffix array, on average
 SQUEEZED = 16_000_000  # bytes of html packed at a time, one page at least
@@ -93,6 +94,10 @@ class Page:
         name = tag[1:].split(" ", 1)[0]
         return tag if tag[:1] == "<" and name in BLOCKS - TEXT else ""
 
+    def heads(self) -> list[int]:
+        """Places of the containers with a block of their own outside articles."""
+        return [a - 1 for i, (a, _) in enumerate(self.spans) if not self.inside[i] and self.container(i)]
+
 
 def _marks(attributes: str) -> set[str]:
     found: set[str] = set()
@@ -248,36 +253,46 @@ def repeated(streams: list[list[str]], least: int) -> list[np.ndarray]:
     return covering(several(*ranks(streams, least)), streams, least)
 
 
-def kept_blocks(pages: list[Page], least: int = LEAST) -> list[list[int]]:
-    """Numbers of the blocks of each page that are main text as far as these pages tell."""
+def judged_blocks(
+    pages: list[Page], least: int = LEAST
+) -> tuple[list[list[int]], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Numbers of the blocks of each page that are main text as far as these pages tell.
+
+    Then for each token of a page whether the tokens that start there fit, start on another page as well,
+    and start a container with its text that stands outside articles on some page.
+    """
     streams = [p.stream for p in pages]
     rank, page, fits = ranks(streams, least)
     shared = several(rank, page, fits)
     covered = covering(shared, streams, least)
-    # where a container with its text starts that stands outside articles on some page
+    edges = offsets_of(np.array([len(s) for s in streams], np.int64))
     outside = np.zeros(len(rank), bool)
-    edges = offsets_of(np.array([len(s) for s in streams], np.int64))[:-1]
-    for base, p in zip(edges, pages, strict=True):
-        for i, (a, _) in enumerate(p.spans):
-            if not p.inside[i] and p.container(i):
-                outside[base + a - 1] = True
-    held = np.zeros(int(rank.max(initial=0)) + 1, bool)
-    held[rank[outside]] = True
+    for base, p in zip(edges[:-1], pages, strict=True):
+        outside[[base + start for start in p.heads()]] = True
+    known = np.zeros(int(rank.max(initial=0)) + 1, bool)
+    known[rank[outside]] = True
+    held = known[rank]
     out = []
-    for base, p, cover in zip(edges, pages, covered, strict=True):
+    for base, p, cover in zip(edges[:-1], pages, covered, strict=True):
         marked, kept = any(p.inside), []
         for i, (a, b) in enumerate(p.spans):
             template = cover[a:b].mean() >= COVER
             if marked:
                 start = base + a - 1
-                furniture = p.linked[i] or bool(p.container(i)) and shared[start] and held[rank[start]]
+                furniture = p.linked[i] or bool(p.container(i)) and shared[start] and held[start]
                 keep = p.inside[i] and not (template and furniture)
             else:
                 keep = not template and not p.linked[i]
             if keep:
                 kept.append(i)
         out.append(kept)
-    return out
+    split = [np.split(x, edges[1:-1]) for x in (fits, shared, held)]
+    return out, *split
+
+
+def kept_blocks(pages: list[Page], least: int = LEAST) -> list[list[int]]:
+    """Numbers of the blocks of each page that are main text as far as these pages tell."""
+    return judged_blocks(pages, least)[0]
 
 
 def main_texts(sources: list[str], least: int = LEAST) -> list[str]:
@@ -286,32 +301,55 @@ def main_texts(sources: list[str], least: int = LEAST) -> list[str]:
     return ["\n".join(p.blocks[i] for i in kept) for p, kept in zip(pages, kept_blocks(pages, least), strict=True)]
 
 
-def _hash(*parts_: str) -> int:
-    value = xxhash.xxh3_64_intdigest("\0".join(parts_).encode("utf-8", "surrogatepass"))
-    return value - (1 << 64) if value >> 63 else value
+def grams(stream: list[str], least: int = LEAST) -> np.ndarray:
+    """Hash of the ``least`` tokens that start at each token where so many are left."""
+    if len(stream) < least:
+        return np.zeros(0, np.int64)
+    numbers = Numbered()
+    codes = numbers.codes([stream])
+    hashes = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in numbers], np.uint64)[codes]
+    found = np.zeros(len(stream) - least + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(least):
+            found = mix(found + hashes[i: i + len(found)])
+    return found.view(np.int64)
 
 
-def told(page: Page, kept: list[int], least: int = LEAST) -> tuple[list[dict], list[dict]]:
-    """What a page of a large host tells the other arrays, and which of its kept blocks they may take away.
+def asked(page: Page, kept: list[int], fits: np.ndarray, shared: np.ndarray, held: np.ndarray, least: int = LEAST) -> list[dict]:
+    """The kept blocks of a page that other arrays of its host may take away.
 
-    Seen are the blocks that are long enough for the array to find, by hash of their words, and containers
-    outside articles by hash of tag and words; both only where the array decides by them. Open are kept
-    blocks, by place, that go if another page has the hash.
+    A block comes with the hashes of all substrings of ``least`` tokens that touch it: ``known`` tells those
+    that stand on two pages of this array, ``ask`` those the other arrays decide. ``head`` is the one that
+    starts with the container of a block in an article, ``held`` whether this array has it outside articles.
     """
-    marked, seen, open_ = any(page.inside), [], []
-    stay = set(kept)
-    for i, (a, b) in enumerate(page.spans):
-        tag = page.container(i)
-        if b - a >= least:
-            seen.append({"hash": _hash(page.blocks[i])})
-            if i in stay and (not marked or page.linked[i]):
-                open_.append({"place": i, "hash": _hash(page.blocks[i])})
-        if tag and b - a + 1 >= least:
-            if not page.inside[i]:
-                seen.append({"hash": _hash(tag, page.blocks[i])})
-            elif i in stay:
-                open_.append({"place": i, "hash": _hash(tag, page.blocks[i])})
-    return seen, open_
+    marked, hashes, out = any(page.inside), None, []
+    for i in kept:
+        a, b = page.spans[i]
+        box = marked and not page.linked[i] and bool(page.container(i))
+        if marked and not page.linked[i] and not (box and fits[a - 1]):
+            continue
+        hashes = grams(page.stream, least) if hashes is None else hashes
+        low, high = max(0, a - least + 1), min(b, len(hashes))
+        out.append({
+            "place": i, "words": b - a, "lead": a - low, "known": shared[low:high].tolist(), "ask": hashes[low:high].tolist(),
+            "head": int(hashes[a - 1]) if box else None, "held": bool(box and held[a - 1]),
+        })
+    return out
+
+
+def taken(block: dict, answers: dict[int, bool], least: int = LEAST) -> bool:
+    """Whether a block of ``asked`` goes, given the hashes that stand on two pages of the host and whether
+    they start a container outside articles."""
+    covered = np.zeros(block["lead"] + block["words"] + least, bool)
+    for at, (known, ask) in enumerate(zip(block["known"], block["ask"], strict=True)):
+        if known or ask in answers:
+            covered[at: at + least] = True
+    template = covered[block["lead"]: block["lead"] + block["words"]].mean() >= COVER
+    head = block["head"]
+    if not template or head is None:
+        return bool(template)
+    here = block["known"][block["lead"] - 1] or head in answers
+    return bool(here and (block["held"] or answers.get(head, False)))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -325,8 +363,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     pages of their own. Other columns are ignored. An empty table gives no rows.
 
     A host with more than ``PAGES`` pages is dealt to several suffix arrays by a number of the row, so
-    neither a key nor a page that repeats is one array. Whole blocks meet across the arrays by host and
-    hash; a substring that is less than a block is seen within its array. No page is left out.
+    neither a key nor a page that repeats is one array. The arrays decide together as one array would: the
+    blocks that are kept but may go ask for all substrings of ``LEAST`` tokens that touch them, by hash, and
+    the pages of their hosts are read once more and tell which of those stand on two pages. A filter of the
+    asked hashes, of fixed size, keeps the others out of the exchange. No page is left out.
     """
     spark = pages.sparkSession
     stage = Stage(spark, "html")
@@ -368,10 +408,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     )
     rows = rows.join(crowded, "host", "left").select("key", "url", "host", "html", "parts")
     rows = rows.mapInArrow(squeeze, "host string, chunk int, arrays long, size long, data binary")
-    shape = {
-        "places": pa.list_(pa.int32()), "blocks": pa.list_(pa.string()), "seen": pa.list_(pa.struct([("hash", pa.int64())])),
-        "open": pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())])),
-    }
+    block = pa.struct([
+        ("place", pa.int32()), ("words", pa.int32()), ("lead", pa.int32()), ("known", pa.list_(pa.bool_())),
+        ("ask", pa.list_(pa.int64())), ("head", pa.int64()), ("held", pa.bool_()),
+    ])
+    shape = {"places": pa.list_(pa.int32()), "blocks": pa.list_(pa.string()), "open": pa.list_(block)}
 
     def site(table: pa.Table) -> pa.Table:
         packed = zip(table["data"].to_pylist(), table["size"].to_pylist(), strict=True)
@@ -379,29 +420,73 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
         found = [parse(t or "") for t in rows["html"].to_pylist()]
         alone = table["arrays"][0].as_py() == 1  # the only array of its host
         out = []
-        for page, kept in zip(found, kept_blocks(found), strict=True):
-            seen, open_ = ([], []) if alone else told(page, kept)
-            places = kept if open_ else []
-            out.append({"places": places, "blocks": [page.blocks[i] for i in kept], "seen": seen, "open": open_})
+        for page, kept, *facts in zip(found, *judged_blocks(found), strict=True):
+            open_ = [] if alone else asked(page, kept, *facts)
+            out.append({"places": kept if open_ else [], "blocks": [page.blocks[i] for i in kept], "open": open_})
         columns = {c: pa.array([r[c] for r in out], t) for c, t in shape.items()}
         host = {"host": pa.array([table["host"][0].as_py()] * rows.num_rows, pa.string())}
         return pa.table({c: rows[c] for c in ("page", "key", "url")} | host | columns)
 
-    result = (
-        f"page long, key {kind}, url string, host string, places array<int>, blocks array<string>, "
-        "seen array<struct<hash: bigint>>, open array<struct<place: int, hash: bigint>>"
+    opened = (
+        "array<struct<place: int, words: int, lead: int, known: array<boolean>, ask: array<bigint>, head: bigint, held: boolean>>"
     )
+    result = f"page long, key {kind}, url string, host string, places array<int>, blocks array<string>, open {opened}"
     judged = stage.store(rows.groupBy("host", "chunk").applyInArrow(site, result), "pages")
-    seen = judged.select("host", "page", F.explode("seen.hash").alias("hash")).groupBy("host", "hash")
-    seen = seen.agg(F.min("page").alias("low"), F.max("page").alias("high"))
-    asked = judged.select("host", "page", F.explode("open").alias("o")).select("host", "page", "o.place", "o.hash")
-    other = (F.col("low") != F.col("page")) | (F.col("high") != F.col("page"))
-    gone = asked.join(seen, ["host", "hash"]).where(other).groupBy("page").agg(F.collect_set("place").alias("gone"))
+    unsure = judged.where(F.size("open") > 0)
+    # a head is among the substrings that touch its block
+    asks = unsure.select("host", "page", F.explode(F.array_distinct(F.flatten("open.ask"))).alias("hash"))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every substring of a page once, and whether it starts a container outside articles."""
+        for big in batches:
+            for batch in cut(big, SQUEEZED):
+                if not batch.num_rows:
+                    continue
+                hashes, outside, sizes = [], [], []
+                for text in batch.column(1).to_pylist():
+                    page = parse(text or "")
+                    found = grams(page.stream)
+                    heads = np.zeros(len(found), bool)
+                    heads[[h for h in page.heads() if h < len(found)]] = True
+                    each, place = np.unique(found, return_inverse=True)
+                    first = np.zeros(len(each), bool)
+                    np.logical_or.at(first, place, heads)
+                    hashes.append(each)
+                    outside.append(first)
+                    sizes.append(len(each))
+                lengths = np.array(sizes, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), lists(np.concatenate(hashes), lengths, pa.int64()), lists(np.concatenate(outside), lengths, pa.bool_())],
+                    ["host", "hashes", "outside"],
+                )
+
+    # stored, so that its size is known: pages meet it by broadcast, not by an exchange of all html
+    asking = stage.store(unsure.select("host").distinct(), "asking")
+    again = pages.select(host.alias("host"), pages[source].cast("string").alias("html")).join(asking, "host", "left_semi")
+    said = again.mapInArrow(tell, "host string, hashes array<bigint>, outside array<boolean>")
+    said = said.select("host", F.explode(F.arrays_zip("hashes", "outside")).alias("g")).select(
+        "host", F.col("g.hashes").alias("hash"), F.col("g.outside").alias("outside")
+    )
+    wanted = stage.store(asks.select("host", "hash").distinct(), "asked")
+    told = may_match(said, key_filter(wanted, ["host", "hash"]), ["host", "hash"]).groupBy("host", "hash")
+    # a page tells a substring once, so two tellers are two pages
+    told = told.agg(F.count(F.lit(1)).alias("tellers"), F.max("outside").alias("outside")).where(F.col("tellers") > 1)
+    answers = asks.join(told, ["host", "hash"]).groupBy("page").agg(F.collect_list(F.struct("hash", "outside")).alias("answers"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = []
+            for places, blocks, open_, found in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                known = {x["hash"]: x["outside"] for x in found or ()}
+                gone = {x["place"] for x in open_ if taken(x, known)}
+                left.append([t for i, t in zip(places, blocks, strict=True) if i not in gone])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.list_(pa.string()))], ["key", "url", "blocks"])
+
     # only pages with open blocks wait for the others
     sure = judged.where(F.size("open") == 0).select("key", "url", "blocks")
-    left = F.filter(F.arrays_zip("places", "blocks"), lambda b: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), b["places"]))
-    unsure = judged.where(F.size("open") > 0).join(gone, "page", "left").select("key", "url", F.transform(left, lambda b: b["blocks"]).alias("blocks"))
-    return sure.unionByName(unsure).select(F.col("key").alias(key), "url", F.array_join("blocks", "\n").alias("text"))
+    decided = unsure.join(answers, "page", "left").select("key", "url", "places", "blocks", "open", "answers")
+    decided = decided.mapInArrow(decide, f"key {kind}, url string, blocks array<string>")
+    return sure.unionByName(decided).select(F.col("key").alias(key), "url", F.array_join("blocks", "\n").alias("text"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

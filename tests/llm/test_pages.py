@@ -107,6 +107,26 @@ def expected(url):
     return host, path, max(fits, key=lambda f: len(f[1]), default=(None, None))
 
 
+def test_substrings_meet_across_the_arrays_of_a_host(spark, monkeypatch):
+    """Pages that share most of a block, not the whole of it, lose it as in one array."""
+    monkeypatch.setattr(html, "PAGES", 2)
+    rnd = random.Random(5)
+    common = " ".join(f"w{i}" for i in range(40))
+    sources = []
+    for i in range(40):
+        start, box = rnd.randrange(20), rnd.choice(["div", "p", "section", "p"])
+        part = " ".join(common.split()[start: start + rnd.choice([9, 12, 20])])
+        piece = f"<{box}>{part}{rnd.choice(['', f' own{i}', f' own{i} b{i} c{i} d{i} e{i}'])}</{box}>"
+        linked = f"<p><a href='/'>{part}</a></p>" if rnd.random() < 0.3 else ""
+        text = f"<p>{' '.join(f'x{i}y{j}' for j in range(12))}</p>"
+        sources.append(f"<body><article>{text}{piece}{linked}</article>{piece if rnd.random() < 0.3 else ''}</body>" if i % 3 else f"<body>{text}{piece}{linked}</body>")
+    rows = [(i, "http://one.example/x", s, "t", "h") for i, s in enumerate(sources)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    want = html.main_texts(sources)
+    assert [found[i] for i in range(40)] == want
+    assert want != [t for s in sources for t in html.main_texts([s])]
+
+
 def test_urls_against_plain_code(spark):
     given = [
         "http://a.example.org/es/1", "https://EXAMPLE.org/en/12?x=://y", "http://org/x", "http://orgx.com/fr/a", "http://b.com/de/1",
