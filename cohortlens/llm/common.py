@@ -164,26 +164,12 @@ class Numbered(dict):
         return np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64)
 
 
-class WordHashes:
-    """64-bit hashes of words, kept from batch to batch up to ``limit`` different words."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index, self.values = Numbered(), np.zeros(0, np.uint64)
-
-    def of(self, parts: list[list[bytes]]) -> np.ndarray:
-        """Hash of every word of the documents, one document after the other."""
-        if len(self.index) > self.limit:
-            self._clear()
-        codes = self.index.codes(parts)
-        if len(self.index) > len(self.values):
-            fresh = list(self.index)[len(self.values):]
-            new = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
-            self.values = np.concatenate([self.values, new])
-        return self.values[codes]
+def word_hashes(parts: list[list[bytes]]) -> np.ndarray:
+    """64-bit hash of every word of the documents, one document after the other.
+
+    A hash takes less time than a look for the word in a table of known ones.
+    """
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(parts)), np.uint64, sum(map(len, parts)))
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import (
     Stage,
-    WordHashes,
     binaries,
     lists,
     map_batches,
@@ -33,6 +32,7 @@ from cohortlens.llm.common import (
     read,
     texts_of,
     windows,
+    word_hashes,
 )
 from cohortlens.llm.components import roots
 
@@ -40,6 +40,7 @@ SIDE, ROWS = 10, 2
 CROWD = 2048  # members of a bucket that are compared in one group, on average
 CHUNK = 4_000_000  # bytes of sketches compared at a time
 SEED = 20240611
+CACHED = 65_536  # shingles that are hashed at a time, those of one document at least
 LEAST_CELLS, MOST_CELLS = 32, 4096  # of a counting sketch; powers of two
 FULL = 255  # where a cell of a sketch stops counting
 
@@ -61,10 +62,10 @@ def linked(a: set, b: set, share: int) -> bool:
     return bool(a) and bool(b) and 100 * both >= share * (len(a) + len(b) - both)
 
 
-def sets_of(texts: list[str], width: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def sets_of(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text, one text after the other, and their number."""
     parts = [cells(t) for t in texts]
-    words = hashes.of(parts)
+    words = word_hashes(parts)
     sizes = np.array([len(p) for p in parts], np.int64)
     edges = offsets_of(sizes)
     runs = windows(words, width) if len(words) >= width else np.zeros(0, np.uint64)
@@ -80,15 +81,22 @@ def sets_of(texts: list[str], width: int, hashes: WordHashes) -> tuple[np.ndarra
 
 
 def half_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(documents with shingles) x (2 SIDE) half keys."""
-    start = offsets_of(counts[counts > 0])[:-1]
+    """(documents with shingles) x (2 SIDE) half keys, for as many documents at a time as a cache holds."""
+    edges = offsets_of(counts[counts > 0])
     random = np.random.default_rng(SEED)
-    out = np.zeros((len(start), 2 * SIDE), np.uint64)
-    for i in range(2 * SIDE):
-        for _ in range(ROWS):
-            odd, add = random.integers(0, 2**63, 2).astype(np.uint64)
-            least = np.minimum.reduceat(flat * (odd * np.uint64(2) + np.uint64(1)) + add, start)
-            out[:, i] = mix(out[:, i] ^ least, i + 1)
+    factors = [random.integers(0, 2**63, 2).astype(np.uint64) for _ in range(2 * SIDE * ROWS)]
+    out = np.zeros((len(edges) - 1, 2 * SIDE), np.uint64)
+    a = 0
+    while a < len(out):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + CACHED, "right")) - 1)
+        part, start = flat[edges[a]: edges[b]], edges[a:b] - edges[a]
+        hashed = np.empty_like(part)
+        for i in range(2 * SIDE):
+            for odd, add in factors[i * ROWS: (i + 1) * ROWS]:
+                np.multiply(part, odd * np.uint64(2) + np.uint64(1), out=hashed)
+                hashed += add
+                out[a:b, i] = mix(out[a:b, i] ^ np.minimum.reduceat(hashed, start), i + 1)
+        a = b
     return out
 
 
@@ -116,13 +124,10 @@ def apart(a: bytes, b: bytes) -> int:
 
 def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """(doc_id, n, d1, d2, u, v, sketch): set size, digest of the set, the two collections of half keys, counts."""
-    state: list[WordHashes] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not state:
-            state.append(WordHashes())
         with np.errstate(over="ignore"):
-            flat, counts = sets_of(texts_of(batch.column(1)), width, state[0])
+            flat, counts = sets_of(texts_of(batch.column(1)), width)
             some = counts > 0
             digests = np.zeros((2, len(counts)), np.uint64)
             keys = np.zeros((len(counts), 2 * SIDE), np.uint64)

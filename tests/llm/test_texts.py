@@ -9,9 +9,11 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import Tokenizer
 
 from cohortlens.llm import bpe, neardup, packing, passages, words
+from cohortlens.llm.common import word_hashes
 from llm_cases import docs, nothing, rows  # noqa: F401
 
 RANKS, WORDS, BYTES = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -245,3 +247,16 @@ def test_words_of_passages_are_ranges_of_bytes():
         keep = np.array([rng.random() < 0.6 for _ in flat], bool)
         left = iter(keep)
         assert found.joined(keep).to_pylist() == [b" ".join(w for w in p if next(left)).decode() for p in parts]
+
+
+def test_half_keys_do_not_depend_on_what_a_cache_holds(monkeypatch):
+    texts = [f"{i % 7} common words and own ones {i} " * (i % 5) for i in range(60)]
+    with np.errstate(over="ignore"):
+        flat, counts = neardup.sets_of(texts, 2)
+        want = neardup.half_keys(flat, counts)
+        for most in (1, 5, 40):
+            monkeypatch.setattr(neardup, "CACHED", most)
+            assert (neardup.half_keys(flat, counts) == want).all()
+    assert want.shape == ((counts > 0).sum(), 2 * neardup.SIDE) and len({tuple(k) for k in want}) > 1
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in (b"a", b"b", b"a")]
+    assert word_hashes([[b"a"], [], [b"b", b"a"]]).tolist() == hashes
