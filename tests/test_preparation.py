@@ -148,3 +148,20 @@ def test_hot_student_is_compacted(spark):
     assert daily.where("user_id = 'u'").count() == 14
     got = {r["periodo_week"]: r["tt_content_read"] for r in weekly.weekly_events(rows, places(spark)).collect()}
     assert sum(got.values()) == 10000 and sorted(got) == [1, 2]
+
+
+def test_user_list_and_log_are_read_once(spark, tmp_path):
+    clean = programmes.clean_sites(sites(spark, programme(1)))
+    roster = programmes.programme_roster(clean, programmes.select_programmes(clean))
+    rows = [("PER1-1-000-01", f"u{i}") for i in range(50)] * 2 + [("PER1-1-001-01", "u1"), (None, "u1"), ("PER1-1-000-01", None)]
+    spark.createDataFrame(rows, "site_id string, user_id string").write.parquet(f"{tmp_path}/users")
+    grants = spark.createDataFrame([(f"u{i}", 2, i % 2) for i in range(50)], "user_id string, role_key int, active int")
+    roles = spark.createDataFrame([(2, "Alumno")], "role_key int, role_name string")
+    got = enrolment.enrol_students(spark.read.parquet(f"{tmp_path}/users"), roster, grants, roles)
+    assert got.count() == 51
+    assert not any("/users/" in f for f in got.inputFiles())
+    log = spark.createDataFrame([("u1", dt.date(2022, 1, 9), 3), ("u2", dt.date(2022, 1, 9), 4)], "user_id string, login_date date, login_count int")
+    log.write.parquet(f"{tmp_path}/log")
+    weeks = weekly.weekly_logins(spark.read.parquet(f"{tmp_path}/log"), got)
+    assert not any("/log/" in f for f in weeks.inputFiles())
+    assert [(r["user_id"], r["tt_login"]) for r in weeks.collect()] == [("u1", 3)]
