@@ -37,6 +37,7 @@ def jn3(w):
 @query("jn4", """SELECT coalesce(e.key_id, l.key_id) AS key_id, e.tt_pres_begin_peranalisis, l.tt_login_peranalisis
     FROM event_feature e FULL JOIN login_feature l ON l.key_id = e.key_id""")
 def jn4(w):
+    w.places()
     events = w.event_features().select("key_id", "tt_pres_begin_peranalisis")
     return events.join(w.login_features().select("key_id", "tt_login_peranalisis"), "key_id", "full")
 

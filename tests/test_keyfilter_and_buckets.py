@@ -85,3 +85,19 @@ def test_vectors_add_rows_of_one_week(spark):
         one = got["s_1"]
         assert (one["a_peranalisis"], one["b_peranalisis"], one["a_sum2s"], one["b_sum2s"]) == (5, 4, 5, 4)
         assert got["s_2"]["a_sum4s"] == 0 and got["s_3"]["a_sum4s"] == 2
+
+
+def test_filter_sinks_below_distinct_rows_union_and_join(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") % 50).alias("order"), (F.col("id") % 20).alias("part"))
+    rows.write.parquet(f"{tmp_path}/lines")
+    spark.range(50).select(F.col("id").alias("no"), (F.col("id") * 7 % 9).alias("user")).write.parquet(f"{tmp_path}/orders")
+    lines, orders = spark.read.parquet(f"{tmp_path}/lines"), spark.read.parquet(f"{tmp_path}/orders")
+    sold = lines.join(orders.hint("merge"), F.col("order") == F.col("no")).select("user", "part")
+    pairs = sold.union(spark.createDataFrame([(1, 3), (1, 99)], "user long, part long")).distinct()
+    named = pairs.select("user", F.concat(F.lit("s"), F.col("part").cast("string")).alias("site"))
+    keys = spark.createDataFrame([("s3",), ("s4",)], "site string")
+    found = may_match(named, key_filter(keys, ["site"]), ["site"])
+    text = plan_of(found)
+    assert text.index("SortMergeJoin") < text.index("LeftSemi")
+    wanted = {tuple(r) for r in named.where("site in ('s3', 's4')").collect()}
+    assert {tuple(r) for r in found.join(keys, "site", "left_semi").select("user", "site").collect()} == wanted

@@ -165,3 +165,32 @@ def test_user_list_and_log_are_read_once(spark, tmp_path):
     weeks = weekly.weekly_logins(spark.read.parquet(f"{tmp_path}/log"), got)
     assert not any("/log/" in f for f in weeks.inputFiles())
     assert [(r["user_id"], r["tt_login"]) for r in weeks.collect()] == [("u1", 3)]
+
+
+def test_enrolment_of_a_log_leaves_out_what_the_log_cannot_meet(spark):
+    clean = programmes.clean_sites(sites(spark, programme(1)))
+    roster = programmes.programme_roster(clean, programmes.select_programmes(clean))
+    rows = [(s, f"u{i}") for i in range(400) for s in ("PER1-1-000-01", "PER1-1-001-01")]
+    users = spark.createDataFrame([*rows, *rows[:20], (None, "u2"), ("PER1-1-000-01", None)], "site_id string, user_id string")
+    grants = spark.createDataFrame([(f"u{i}", 2, i % 2) for i in range(400)], "user_id string, role_key int, active int")
+    roles = spark.createDataFrame([(2, "Alumno")], "role_key int, role_name string")
+    day = dt.date(2022, 1, 9)
+    # an unknown site and user, a user who is no active student, gaps, and what counts
+    seen = [("PER1-1-000-01", "u3"), ("PER1-1-001-01", "u5"), ("PER1-1-000-01", "u4"), ("PER9-9-000-01", "u7"), (None, "u9"), ("PER1-1-000-01", None)]
+    log = spark.createDataFrame([(s, u, "content.read", day, 1) for s, u in seen * 2], "site_id string, user_id string, event_id string, event_date date, event_count int")
+    whole = enrolment.enrol_students(users, roster, grants, roles)
+    part = enrolment.enrol_students(users, roster, grants, roles, log)
+    assert whole.count() == 410 and 3 <= part.count() < 10
+    assert part.exceptAll(whole).count() == 0
+    pair = ["site_id", "user_id"]
+    assert sorted(tuple(r) for r in part.join(log, pair, "left_semi").select(*pair).collect()) == [
+        ("PER1-1-000-01", "u3"), ("PER1-1-000-01", "u3"), ("PER1-1-001-01", "u5"), ("PER1-1-001-01", "u5"),
+    ]
+    both = [sorted(tuple(r) for r in weekly.weekly_events(log, places).collect()) for places in (whole, part)]
+    assert both[0] == both[1] and len(both[0]) == 2
+    logins = spark.createDataFrame([("u3", day, 2), ("u4", day, 1), (None, day, 1), ("u999", day, 1)], "user_id string, login_date date, login_count int")
+    few = enrolment.enrol_students(users, roster, grants, roles, logins)
+    assert few.select("user_id").distinct().count() < 10
+    both = [sorted(tuple(r) for r in weekly.weekly_logins(logins, places).collect()) for places in (whole, few)]
+    assert both[0] == both[1] == [(both[0][0][0], 2, "u3", 2)]
+    assert enrolment.enrol_students(users, roster, grants, roles, log.limit(0)).count() == 0
