@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import trailing
+from cohortlens.plans import catalogue as cat
 
 PANEL = "site_uid string, periodo_week int, user_id string, m int"
 
@@ -95,3 +96,27 @@ def test_assemble_keeps_labelled_students(spark):
     assert wide.columns == ["key_id", "tasignaturas", "marca_abandono", "l", "r", "e"]
     assert {tuple(r) for r in wide.collect()} == {("P_a", 6, 1, 3, 3, 3), ("P_z", 5, 0, None, None, None)}
     assert wide.where(F.col("e").isNull()).count() == 1
+
+
+def test_packed_rows_give_the_same_wide_rows(spark):
+    """Sums that are stored and joined in place of the columns: same values, NULL for students without a row."""
+    def weekly(metrics, skip):
+        rows = [
+            (f"s{u % 2}", u, week, *[None if (u + week + i) % 5 == 0 else (u * 7 + week * 3 + i) % 11 for i in range(len(metrics))])
+            for u in range(8) for week in range(-1, 6) if (u + week) % 3 and u != skip
+        ]
+        shape = "site_uid string, user_id long, periodo_week int, " + ", ".join(f"`{m}` long" for m in metrics)
+        return spark.createDataFrame([*rows, *rows[:2]], shape)
+
+    panels = (weekly(cat.EVENT_METRICS, 1), weekly(cat.RESOURCE_METRICS, 2), weekly((cat.LOGIN_METRIC,), 3))
+    outcomes = spark.createDataFrame(
+        [(f"s{u % 2}", u, 3, u % 2) for u in (0, 1, 2, 3, 3, 5, 20)], "site_uid string, student_id long, tasignaturas int, marca_abandono int"
+    )
+    builders = (trailing.event_features, trailing.resource_features, trailing.login_features)
+    plain = trailing.assemble(outcomes, *[b(p, 5) for b, p in zip(builders, panels, strict=True)])
+    small = [b(p, 5, packed=True) for b, p in zip(builders, panels, strict=True)]
+    assert all(t.columns == ["key_id", "_ages"] for t in small)
+    packed = trailing.assemble(outcomes, *small)
+    assert packed.columns == plain.columns and [f.dataType for f in packed.schema] == [f.dataType for f in plain.schema]
+    one, other = (sorted(map(tuple, d.collect()), key=repr) for d in (packed, plain))
+    assert one == other and len(one) == 7 and any(None in r for r in one)
